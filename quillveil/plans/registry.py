@@ -2,6 +2,426 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import boxes, decode, evaluate, policy
+from ..operators.redact import counts_by_type, detect, propagated, redact, report
+from ..operators.rules import RULES, Rule
+from ..operators.spans import candidates, mask, resolve
+from ..runtime import table
+from ..schema import PUBLIC_TYPES, Settings, type_dimension
+from ..sources import cache, files
+from . import fixtures
+from . import oracle as o
+
 FLAGSHIP = "redacted_documents"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The rules with an SQL form.
+TYPED = tuple(r for r in RULES if r.entity_type in ("EMAIL", "CREDIT_CARD", "URL") or r.pattern == o.IPV4)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rows(df: DataFrame, key: str, col: str = "spans") -> DataFrame:
+    return df.select(key, F.explode(col).alias("s")).select(key, "s.start", "s.end", F.col("s.text").alias("value"))
+
+
+def _spans_of(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    return _rows(detect(table(spark, sf_dir, name).select(key, F.col(text).alias("text")), rules=rules), key)
+
+
+def _only(entity_type: str, pattern: str | None = None) -> tuple[Rule, ...]:
+    return tuple(r for r in RULES if r.entity_type == entity_type and (pattern is None or r.pattern == pattern))
+
+
+@query()
+def redacted_documents(spark, sf_dir):
+    out = redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "found", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query()
+def all_spans_documents(spark, sf_dir):
+    return report(redact(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+
+
+@query()
+def all_spans_pages(spark, sf_dir):
+    return report(redact(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))), "page_id")
+
+
+@query()
+def phone_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "documents", "doc_id", "text", _only("PHONE"))
+
+
+@query(o.spans_sql("documents", "doc_id", "text", o.EMAIL, o.EMAIL_OK))
+def email_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "documents", "doc_id", "text", _only("EMAIL"))
+
+
+@query(o.spans_sql("documents", "doc_id", "text", o.IPV4, o.IPV4_OK))
+def ipv4_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "documents", "doc_id", "text", _only("IP_ADDRESS", o.IPV4))
+
+
+@query(o.spans_sql("documents", "doc_id", "text", o.CARD, o.CARD_OK))
+def card_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "documents", "doc_id", "text", _only("CREDIT_CARD"))
+
+
+@query(o.spans_sql("pages", "page_id", "html", o.URL))
+def page_url_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "pages", "page_id", "html", _only("URL"))
+
+
+@query(o.spans_sql("pages", "page_id", "html", o.EMAIL, o.EMAIL_OK))
+def page_email_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "pages", "page_id", "html", _only("EMAIL"))
+
+
+@query(o.spans_sql("pages", "page_id", "html", o.CARD, o.CARD_OK))
+def page_card_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, "pages", "page_id", "html", _only("CREDIT_CARD"))
+
+
+_SECRET = r"""(?i)\b(?:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|secret|token|password|passwd|pwd)\b\s*[:=]\s*["']?([A-Za-z0-9_\-/+]{20,100})["']?"""
+
+
+@query(
+    f"""
+SELECT doc_id, count(*) AS n, min(value) AS first_value FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, {o.quoted(_SECRET)}, 1)) AS value FROM documents
+) WHERE length(value) >= 20 AND
+  -list_sum(list_transform(list_distinct(string_split(value, '')), lambda c:
+    (length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) >= 3
+GROUP BY doc_id"""
+)
+def secret_assignments(spark, sf_dir):
+    rule = tuple(r for r in RULES if r.entity_type == "API_KEY" and r.quoted)
+    return _spans_of(spark, sf_dir, "documents", "doc_id", "text", rule).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"))
+
+
+@query(f"""SELECT doc_id, "start", "end", entity_type, placeholder FROM ({o.numbered_sql("documents", "doc_id", "text")})""")
+def placeholders_documents(spark, sf_dir):
+    return report(redact(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED), "doc_id").select("doc_id", "start", "end", "entity_type", "placeholder")
+
+
+@query(
+    f"""
+WITH n AS (SELECT * FROM ({o.numbered_sql("documents", "doc_id", "text")}) WHERE entity_type <> 'URL'),
+p AS (SELECT n.*, text, coalesce(lag("end") OVER (PARTITION BY n.doc_id ORDER BY "start"), 0) AS before FROM n JOIN documents d ON n.doc_id = d.doc_id),
+r AS (SELECT doc_id, string_agg(substr(text, before + 1, "start" - before) || placeholder, '' ORDER BY "start")
+  || substr(any_value(text), max("end") + 1) AS redacted, count(*) AS found FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(found, 0) AS INT) AS found, sha256(coalesce(redacted, text)) AS redacted_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
+)
+def redacted_typed_documents(spark, sf_dir):
+    out = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED)
+    return out.select("doc_id", "found", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query(
+    f"""
+SELECT lang, entity_type, count(*) AS n, count(DISTINCT s.doc_id) AS docs
+FROM ({o.typed_sql("documents", "doc_id", "text")}) s JOIN documents d ON s.doc_id = d.doc_id GROUP BY lang, entity_type"""
+)
+def counts_by_language(spark, sf_dir):
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), rules=TYPED)
+    rows = found.select("doc_id", "lang", F.explode("spans").alias("s"))
+    return rows.groupBy("lang", F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(f"SELECT entity_type, count(*) AS n FROM ({o.typed_sql('documents', 'doc_id', 'text')}) WHERE entity_type NOT IN ('CITY', 'STATE', 'ZIP_CODE', 'URL') GROUP BY entity_type")
+def counts_by_entity(spark, sf_dir):
+    return counts_by_type(redact(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED), PUBLIC_TYPES)
+
+
+@query(
+    f"""
+SELECT d.doc_id, CAST(length(text) AS INT) AS length, CAST(coalesce(covered, 0) AS INT) AS covered FROM documents d LEFT JOIN (
+  SELECT doc_id, sum("end" - "start") AS covered FROM ({o.typed_sql("documents", "doc_id", "text")}) GROUP BY doc_id) s ON d.doc_id = s.doc_id"""
+)
+def mask_lengths(spark, sf_dir):
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED)
+    masked = found.select("doc_id", mask(F.col("text"), F.col("spans")).alias("m"))
+    return masked.select("doc_id", F.char_length("m").alias("length"), (F.char_length("m") - F.char_length(F.replace("m", F.lit("█"), F.lit("")))).alias("covered"))
+
+
+#: Overlapping rules for the resolver.
+CLASHING = (Rule("A", "[a-z]+[0-9]+"), Rule("B", "[0-9]{3,}"), Rule("C", "[0-9a-f]{8,}"), Rule("D", "[0-9.]{6,}"))
+_CLASH = " UNION ALL ".join(
+    f"""SELECT doc_id, "start", "end", {k} AS k, value FROM ({o.spans_sql("documents", "doc_id", "text", r.pattern)})""" for k, r in enumerate(CLASHING)
+)
+
+
+@query(
+    f"""
+WITH RECURSIVE c AS ({_CLASH}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "end" - "start" DESC, k, "start") AS r FROM c),
+walk AS (
+  SELECT doc_id, CAST(1 AS BIGINT) AS r, [{{'s': "start", 'e': "end", 'k': k}}] AS taken FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT w.doc_id, x.r, CASE WHEN len(list_filter(w.taken, lambda t: t.s < x."end" AND x."start" < t.e)) > 0 THEN w.taken
+    ELSE list_append(w.taken, {{'s': x."start", 'e': x."end", 'k': x.k}}) END
+  FROM walk w JOIN ranked x ON x.doc_id = w.doc_id AND x.r = w.r + 1
+), ends AS (SELECT doc_id, max(r) AS r FROM ranked GROUP BY doc_id)
+SELECT doc_id, t.s AS "start", t.e AS "end", substr('ABCD', t.k + 1, 1) AS entity_type FROM (
+  SELECT w.doc_id, unnest(taken) AS t FROM walk w JOIN ends e ON w.doc_id = e.doc_id AND w.r = e.r)"""
+)
+def resolved_overlaps(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.explode(resolve(candidates(F.col("text"), CLASHING))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type")
+
+
+KEYWORDS = ("the", "disgusting", " ")
+
+
+@query(
+    r"""
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pM\pN_]+')) AS w FROM documents)
+WHERE lower(w) IN ('the', 'disgusting') GROUP BY doc_id"""
+)
+def custom_keywords(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = detect(docs, settings=Settings(enable_rules=False, custom_keywords=KEYWORDS))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n")).filter("n > 0")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def _cache(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        cache.cache_key(F.sha2("text", 256), Settings()).alias("key"), F.concat(F.lit("r/"), "doc_id").alias("redacted_path"), F.lit(None).cast("string").alias("report_path"),
+        F.lit(1).alias("found"), F.col("n_chars").alias("size"), ((F.col("doc_id") * 7919) % 100003).cast("double").alias("atime"),
+    )
+
+
+@query(
+    """
+SELECT doc_id, EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 3 = 0 AND c.text = d.text) AS hit FROM documents d"""
+)
+def cache_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    store = _cache(docs.filter("doc_id % 3 = 0")).dropDuplicates(["key"])
+    hits, misses = cache.lookup(docs.select("doc_id", cache.cache_key(F.sha2("text", 256), Settings()).alias("key")), store)
+    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
+
+
+@query(
+    """
+SELECT redacted_path, size FROM (
+  SELECT 'r/' || doc_id AS redacted_path, n_chars AS size,
+    sum(n_chars) OVER (ORDER BY (doc_id * 7919) % 100003 DESC ROWS UNBOUNDED PRECEDING) AS run FROM documents
+) WHERE run <= 1000000"""
+)
+def cache_eviction(spark, sf_dir):
+    return cache.evicted(_cache(table(spark, sf_dir, "documents")), 1_000_000).select("redacted_path", "size")
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """Words as boxes: pages by line, a box of 6 x 10 a character."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
+    words = lines.select("doc_id", "page", F.posexplode(F.split("line", " ")).alias("pos", "word"))
+    return boxes.word_ranges(words).select(
+        "doc_id", "page", "pos", "start", "end", "word", (F.col("pos") * 6.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("pos") * 6.0 + F.char_length("word")).alias("x1"), F.lit(10.0).alias("y1")
+    )
+
+
+_WORDS = """
+w0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
+w1 AS (SELECT doc_id, page, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS pos FROM w0),
+w2 AS (SELECT *, length(word) + CASE WHEN lag(page) OVER o IS NULL THEN 2 * page WHEN lag(page) OVER o <> page THEN 2 * (page - lag(page) OVER o) ELSE 1 END AS step
+  FROM w1 WINDOW o AS (PARTITION BY doc_id ORDER BY page, pos)),
+words AS (SELECT *, CAST(sum(step) OVER (PARTITION BY doc_id ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS INT) AS e FROM w2)"""
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) AS words, CAST(max(e) AS INT) AS length, CAST(sum(e - length(word)) AS BIGINT) AS starts FROM words GROUP BY doc_id")
+def word_ranges(spark, sf_dir):
+    words = _words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.max("end").alias("length"), F.sum("start").alias("starts"))
+
+
+@query(
+    f"""
+WITH {_WORDS}, s AS (SELECT doc_id, 5 * k AS a, 5 * k + 12 AS b FROM documents, range(0, 3) t(k) WHERE length(text) > 40)
+SELECT s.doc_id, CAST(a AS INT) AS "start", CAST(b AS INT) AS "end", page, pos * 6.0 + least(0.5, length(word) / 4) AS x0, pos * 6.0 + length(word) - least(0.5, length(word) / 4) AS x1
+FROM s JOIN words w ON s.doc_id = w.doc_id AND a < e AND e - length(word) < b"""
+)
+def span_rectangles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
+    spans = docs.filter(F.char_length("text") > 40).select("doc_id", k).select("doc_id", (F.col("k") * 5).alias("start"), (F.col("k") * 5 + 12).alias("end"), F.lit("X").alias("entity_type"))
+    return boxes.span_rectangles(spans, _words(docs)).select("doc_id", "start", "end", F.col("page").cast("long").alias("page"), "x0", "x1")
+
+
+@query(
+    f"""
+SELECT count(*) AS spans, 0 AS leaked FROM ({o.typed_sql("documents", "doc_id", "text")}) WHERE entity_type <> 'URL'"""
+)
+def no_leak(spark, sf_dir):
+    """Every hidden span's value, looked for in its document's redacted text by whole spans found anew."""
+    out = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED)
+    again = detect(out.select("doc_id", "found", F.col("redacted").alias("text")), rules=TYPED)
+    left = F.size(F.filter("spans", lambda s: s["entity_type"] != "URL"))
+    return again.select("found", left.alias("left")).agg(F.sum("found").alias("spans"), F.sum("left").cast("int").alias("leaked"))
+
+
+_CASES = [(c, t) for c, t, _ in fixtures.RULE_CASES]
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CASES, "case_id string, text string")
+
+
+@query(
+    "SELECT * FROM "
+    + o.rows_sql([(c, t, v, text.index(v), text.index(v) + len(v)) for c, text, found in fixtures.RULE_CASES for t, v in found], 'case_id, entity_type, value, "start", "end"')
+)
+def rule_fixtures(spark, sf_dir):
+    return detect(_cases(spark)).select("case_id", F.explode("spans").alias("s")).select("case_id", "s.entity_type", F.col("s.text").alias("value"), "s.start", "s.end")
+
+
+_TRUTH = [(c, v, t) for c, _, found in fixtures.RULE_CASES for t, v in found] + [("ssn", "on file", "GIVEN_NAME")]
+
+
+def _judged(spark: SparkSession) -> DataFrame:
+    out = redact(_cases(spark).withColumnRenamed("case_id", "doc"))
+    return evaluate.leaks(spark.createDataFrame(_TRUTH, "doc string, value string, entity_type string"), out.select("doc", F.col("redacted").alias("output")))
+
+
+_RECALL = f"SELECT entity_type, CAST(sum(CASE WHEN entity_type IN ('GIVEN_NAME', 'URL') THEN 0 ELSE 1 END) AS BIGINT) AS caught, count(*) AS total FROM {o.rows_sql(_TRUTH, 'doc, value, entity_type')} GROUP BY 1"
+
+
+@query(f"SELECT *, caught / total AS recall FROM ({_RECALL})")
+def recall_by_type(spark, sf_dir):
+    return evaluate.recall_by_type(_judged(spark))
+
+
+@query(
+    f"""
+SELECT b.entity_type, coalesce(caught, 0) AS caught, coalesce(total, 0) AS total, caught / total AS recall, coalesce(caught = total, false) AS ok
+FROM (VALUES ('SSN'), ('EIN'), ('CREDIT_CARD'), ('ROUTING_NUMBER'), ('BANK_ACCOUNT'), ('API_KEY'), ('PRIVATE_KEY'), ('JWT')) b(entity_type)
+LEFT JOIN ({_RECALL}) r ON b.entity_type = r.entity_type"""
+)
+def release_gate(spark, sf_dir):
+    return evaluate.release_gate(evaluate.recall_by_type(_judged(spark)))
+
+
+@query(
+    f"""SELECT CAST(s.doc_id AS VARCHAR) AS doc, count(*) AS found, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types
+FROM ({o.typed_sql("documents", "doc_id", "text")}) s JOIN labels l ON s.doc_id = l.doc_id WHERE quality = 1 AND entity_type <> 'URL' GROUP BY 1"""
+)
+def false_positives(spark, sf_dir):
+    """Labelled documents of good quality taken as controls."""
+    controls = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("doc"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    return evaluate.false_positives(report(redact(docs, rules=TYPED), "doc"), controls, PUBLIC_TYPES)
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id, n_chars // 8 AS n FROM documents WHERE n_chars >= 8),
+c AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(0, ceil((n - 448) / 384)) AS BIGINT) + 1)) AS chunk FROM t),
+w AS (SELECT doc_id, chunk, unnest(range(chunk * 384, least(chunk * 384 + 448, n))) AS token, chunk * 384 AS a, least(chunk * 384 + 448, n) AS b FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY least(token - a, b - 1 - token) DESC, chunk) AS k FROM w)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, count(*) AS tokens, min(token) AS first, max(token) AS last FROM r WHERE k = 1 GROUP BY doc_id, chunk"""
+)
+def chunk_ownership(spark, sf_dir):
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.expr("n_chars div 8").alias("n_tokens"))
+    owned = decode.owner_table(decode.chunk_table(tokens))
+    return owned.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("tokens"), F.min("token").alias("first"), F.max("token").alias("last"))
+
+
+_LABELS = ("O", "B-CITY", "I-CITY", "I-SURNAME", "B-SURNAME")
+
+
+@query(
+    f"""
+WITH t AS (SELECT user_id AS doc_id, event_id AS token, [{", ".join(f"'{x}'" for x in _LABELS)}][CAST(event_id * 31 % 5 AS INT) + 1] AS label, value FROM events),
+k AS (SELECT *, CASE WHEN label <> 'O' THEN label[3:] END AS kind FROM t),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY token) AS before FROM k),
+r AS (SELECT *, sum(CASE WHEN kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY token) AS run FROM b)
+SELECT doc_id, CAST(run AS BIGINT) AS run, kind AS entity_type, min(token) AS first, max(token) AS last FROM r WHERE kind IS NOT NULL GROUP BY doc_id, run, kind"""
+)
+def bio_runs(spark, sf_dir):
+    labels = F.array(*map(F.lit, _LABELS))
+    tokens = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("token"), F.get(labels, (F.col("event_id") * 31 % 5).cast("int")).alias("label"), F.col("value").alias("confidence"))
+    return decode.run_table(tokens).drop("confidence")
+
+
+_SKIP = Settings(skip_globs=("*/a*", "*.html"), allow_globs=("*b*",), deny_globs=("*page/1*",), max_file_bytes=4000)
+
+
+@query(
+    r"""
+SELECT page_id, CASE WHEN NOT regexp_matches(url, 'page/1') AND contains(url, 'b') THEN 'allow_globs'
+  WHEN NOT regexp_matches(url, 'page/1') AND (contains(url, '/a') OR regexp_matches(url, '\.html$')) THEN 'skip_globs'
+  WHEN strlen(html) > 4000 THEN 'max_file_bytes' END AS skip_reason FROM pages"""
+)
+def skip_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.skip_reason(F.col("url"), F.octet_length("html").cast("long"), _SKIP).alias("skip_reason"))
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pdf' WHEN doc_id % 7 = 1 THEN 'image' WHEN doc_id % 7 = 2 THEN 'binary_unknown'
+  WHEN doc_id % 7 = 3 THEN 'binary_unknown' ELSE 'text' END AS kind FROM documents"""
+)
+def file_kinds(spark, sf_dir):
+    mark = F.when(F.col("doc_id") % 7 == 0, "25504446").when(F.col("doc_id") % 7 == 1, "89504E470D0A1A0A").when(F.col("doc_id") % 7 == 2, "1F8B08").when(F.col("doc_id") % 7 == 3, "4100FF").otherwise("")
+    content = F.concat(F.unhex(mark), F.encode("text", "utf-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", files.kind(content).alias("kind"))
+
+
+_TEXT, (_VALUE, _TYPE, _SURE) = fixtures.PROPAGATION
+_AT = _TEXT.index(_VALUE)
+
+
+@query(
+    "SELECT * FROM "
+    + o.rows_sql([(i, i + len(_VALUE), _TEXT[i : i + len(_VALUE)], _SURE) for i in range(len(_TEXT)) if _TEXT[i : i + len(_VALUE)].lower() == _VALUE.lower() and i != _AT and _TEXT[i + len(_VALUE)] != "s"], '"start", "end", value, confidence')
+)
+def value_propagation(spark, sf_dir):
+    row = spark.createDataFrame([(_TEXT,)], "text string")
+    seed = F.expr(f"array(named_struct('start', {_AT}, 'end', {_AT + len(_VALUE)}, 'entity_type', '{_TYPE}', 'text', '{_VALUE}', 'confidence', double({_SURE}), 'source', 'model', 'rank', 0))")
+    return row.select(F.explode(propagated(F.col("text"), seed)).alias("s")).select("s.start", "s.end", F.col("s.text").alias("value"), "s.confidence")
+
+
+@query("SELECT * FROM " + o.rows_sql([(r[0], r[8], r[9]) for r in fixtures.READ_CASES], "id, decision, served_path"))
+def read_decisions(spark, sf_dir):
+    rows = spark.createDataFrame([r[:8] for r in fixtures.READ_CASES], "id int, tool_name string, file_path string, is_file boolean, skip_reason string, error string, found int, redacted_path string")
+    return policy.read_decision(rows, Settings(), "/cache").select("id", "decision", "served_path")
+
+
+@query("SELECT * FROM " + o.rows_sql([(r[0], r[2]) for r in fixtures.COMMAND_CASES], "id, decision"))
+def command_decisions(spark, sf_dir):
+    rows = spark.createDataFrame([r[:2] for r in fixtures.COMMAND_CASES], "id int, command string")
+    return policy.command_decision(rows).select("id", "decision")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200000 THEN 'withhold' ELSE 'allow' END AS decision FROM conversations")
+def output_decisions(spark, sf_dir):
+    rows = redact(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), rules=TYPED)
+    return policy.output_decision(rows).select("conv_id", "turn", "decision")
+
+
+@query("SELECT tier, count(*) AS types FROM (SELECT unnest(list_resize(['deterministic'], 17, 'deterministic') || list_resize(['shared'], 3, 'shared') || list_resize(['model'], 12, 'model') || ['custom']) AS tier) GROUP BY tier")
+def entity_types(spark, sf_dir):
+    return type_dimension(spark).groupBy("tier").agg(F.count(F.lit(1)).alias("types"))
