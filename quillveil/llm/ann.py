@@ -217,7 +217,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     right = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = asking.mapInArrow(probed, "list int, node long, v binary").join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def block(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def block(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "i": pd.Series(dtype="int32"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(q) or not len(p):
             return none

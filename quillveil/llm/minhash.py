@@ -134,7 +134,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: int, m: int = M) -> np.ndarr
     state, of, low, wide, weight = [_mix(h)], [owner], [np.zeros(len(h))], [np.ones(len(h))], [w]
     k = 1
     while len(at := np.flatnonzero(w > (1 << (k - 1)))):  # the interval (2**(k-1), 2**k]
-        state.append(_mix(h[at] + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93)))
+        state.append(_mix(h[at] + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64))))
         of.append(owner[at])
         low.append(np.full(len(at), float(1 << (k - 1))))
         wide.append(np.full(len(at), float(1 << (k - 1))))

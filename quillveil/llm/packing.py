@@ -249,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     groups = max(1, round(stored.count() / group))
     ship(spark)
 
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "uid"], ascending=[False, True, True, True], ignore_index=True)
         n = pdf["length"].to_numpy()
         full = n >= window
