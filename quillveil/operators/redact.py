@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,12 @@ def propagated(text: Column, spans: Column) -> Column:
     return F.aggregate(first, F.expr(EMPTY), spread)
 
 
+@lru_cache(maxsize=32)
+def _resolved(raw: str, low: str, digit: str, rules: tuple[Rule, ...]) -> Column:
+    """The resolver over all rules; building it takes thousands of calls, so it is kept."""
+    return resolve(candidates(F.col(raw), rules, F.col(low), digit=F.col(digit)))
+
+
 def detect(
     df: DataFrame,
     text_col: str = "text",
@@ -78,13 +85,15 @@ def detect(
     model: Model | None = None,
 ) -> DataFrame:
     """Adds the disjoint, sorted spans of the text. Null text has none."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    low = fresh([*df.columns, out], "_low")
-    found = df.withColumn(low, F.lower(t)).withColumn(out, resolve(candidates(t, rules, F.col(low))) if settings.enable_rules else F.expr(EMPTY))
+    low, digit, raw = (fresh([*df.columns, out], x) for x in ("_low", "_digit", "_raw"))
+    t = F.col(raw)
+    found = df.withColumn(raw, F.coalesce(F.col(text_col), F.lit("")))
+    found = found.withColumns({low: F.lower(t), digit: t.rlike(r"\p{Nd}")})
+    found = found.withColumn(out, _resolved(raw, low, digit, tuple(rules)) if settings.enable_rules else F.expr(EMPTY))
     if keywords := [k for k in settings.custom_keywords if k.strip()]:
-        custom = candidates(t, [literal_rule(k) for k in keywords], F.col(low), "custom")
+        custom = candidates(t, [literal_rule(k) for k in keywords], F.col(low), "custom", F.col(digit))
         found = found.withColumn(out, resolve_tier(F.concat(F.col(out), custom)))
-    found = found.drop(low)
+    found, t = found.drop(low, digit, raw), F.coalesce(F.col(text_col), F.lit(""))
     if settings.enable_model and model:
         masked, extra = fresh(found.columns, "_masked"), fresh(found.columns, "_model")
         found = model(found.withColumn(masked, mask(t, F.col(out))), masked, extra)

@@ -173,9 +173,11 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def gate_of(rule: Rule, text: Column, lower: Column) -> Column | None:
+def gate_of(rule: Rule, text: Column, lower: Column, digit: Column) -> Column | None:
+    """What a text must show before the rule runs; ``digit`` says once whether it has any digit."""
     if rule.shape:
-        return text.rlike(rule.shape)
+        first = digit if rule.shape.startswith(r"(?U)\d") else text.contains(":") if rule.shape.startswith(":") else text.contains(":") | text.contains("-")
+        return first & text.rlike(rule.shape)
     out = None
     for word in rule.gate:
         hit = lower.contains(word)

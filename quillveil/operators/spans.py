@@ -45,12 +45,13 @@ def matches(text: Column, rule: Rule, rank: int, source: str = "regex") -> Colum
     return found
 
 
-def candidates(text: Column, rules: Iterable[Rule], lower: Column | None = None, source: str = "regex") -> Column:
+def candidates(text: Column, rules: Iterable[Rule], lower: Column | None = None, source: str = "regex", digit: Column | None = None) -> Column:
     """The matches of all rules in rule order."""
     low = F.lower(text) if lower is None else lower
+    has = text.rlike(r"\p{Nd}") if digit is None else digit
     parts = []
     for rank, rule in enumerate(rules):
-        gate, found = gate_of(rule, text, low), matches(text, rule, rank, source)
+        gate, found = gate_of(rule, text, low, has), matches(text, rule, rank, source)
         parts.append(found if gate is None else F.when(gate, found).otherwise(F.expr(EMPTY)))
     return F.flatten(F.array(*parts)) if parts else F.expr(EMPTY)
 

@@ -38,7 +38,10 @@ SIGNATURES = (
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, modificationTime, length, content; filters on path and length reach the scan."""
+    """path, modificationTime, length, content; filters on path and length reach the scan.
+
+    The scan leaves out files of no bytes, which have nothing to redact.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
