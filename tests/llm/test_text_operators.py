@@ -142,7 +142,7 @@ def test_matching_statistics_brute_force():
     words = brute_words(text)
     v = size = 0
     for i, w in enumerate(words):
-        k = s.ids.get(w)
+        k = s.ids.get(w.encode())
         while v and k not in s.auto.next[v]:
             v = s.auto.link[v]
             size = s.auto.length[v]
