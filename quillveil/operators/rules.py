@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 
@@ -23,7 +24,7 @@ class Rule:
     group: int = 0
     check: Check | None = None
     gate: tuple[str, ...] = ()  # any of these occurs in the lower-cased text
-    shape: str = ""  # or: the text matches this cheap pattern
+    shape: str = ""  # and the text matches this cheap pattern
     any_case: bool = False
     quoted: bool = False  # the match may end with a quote that is not part of the value
 
@@ -32,10 +33,13 @@ class Rule:
         return ("(?dUi)" if self.any_case else "(?dU)") + self.pattern
 
 
+@lru_cache(maxsize=None)
 def _value(f: Callable[[Column], Column]) -> Check:
+    """A check of the value alone; one object for one function, so that rules can share it."""
     return lambda value, text, start, end: f(value)
 
 
+@lru_cache(maxsize=None)
 def _near(words: tuple[str, ...], f: Callable[[Column], Column] | None = None) -> Check:
     return lambda value, text, start, end: (f(value) & v.near(text, start, end, words)) if f else v.near(text, start, end, words)
 
@@ -90,8 +94,8 @@ RULES: tuple[Rule, ...] = (
     ),
     Rule("URL", r"\bhttps?://[^\s<>\"')\]]+", gate=("://",)),
     Rule("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", check=_value(v.ipv4), shape=r"(?U)\d\.\d"),
-    Rule("IP_ADDRESS", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:])", check=_value(v.ipv6), shape=r":[0-9A-Fa-f]{0,4}:"),
-    Rule("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", shape=r"[:-][0-9A-Fa-f]{2}[:-]"),
+    Rule("IP_ADDRESS", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:])", check=_value(v.ipv6), gate=(":",), shape=r":[0-9A-Fa-f]{0,4}:"),
+    Rule("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", gate=(":", "-"), shape=r"[:-][0-9A-Fa-f]{2}[:-]"),
     Rule("API_KEY", r"\bAKIA[0-9A-Z]{16}\b", gate=("akia",)),
     Rule("API_KEY", r"\bgh[pos]_[A-Za-z0-9]{36,}\b", gate=("ghp_", "gho_", "ghs_")),
     Rule("API_KEY", r"\bsk_live_[A-Za-z0-9]{16,}\b", gate=("sk_live_",)),
@@ -107,7 +111,7 @@ RULES: tuple[Rule, ...] = (
         gate=("key", "token", "secret", "passw", "pwd"),
     ),
     Rule("DATE_OF_BIRTH", rf"\b(?:date\s+of\s+birth|dob)\b\s*[:=]?\s*{DATE}", group=1, any_case=True, gate=("birth", "dob")),
-    Rule("DRIVERS_LICENSE", r"\b(?:driver(?:'s)?\s+licen[cs]e|dl\s*(?:number|no\.?))\b\s*[:=]?\s*([A-Z0-9][A-Z0-9-]{4,24})", group=1, any_case=True, gate=("driver", "dl")),
+    Rule("DRIVERS_LICENSE", r"\b(?:driver(?:'s)?\s+licen[cs]e|dl\s*(?:number|no\.?))\b\s*[:=]?\s*([A-Z0-9][A-Z0-9-]{4,24})", group=1, any_case=True, gate=("driver", "dl"), shape=r"(?Ui)\bdriver|\bdl\s*n"),
     Rule(
         "DEVICE_ID",
         r"\bdevice\s+id\b\s*[:=]?\s*([0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F](?:\s?[0-9A-F]){11})",
@@ -175,13 +179,13 @@ RULES: tuple[Rule, ...] = (
 
 def gate_of(rule: Rule, text: Column, lower: Column, digit: Column) -> Column | None:
     """What a text must show before the rule runs; ``digit`` says once whether it has any digit."""
-    if rule.shape:
-        first = digit if rule.shape.startswith(r"(?U)\d") else text.contains(":") if rule.shape.startswith(":") else text.contains(":") | text.contains("-")
-        return first & text.rlike(rule.shape)
     out = None
     for word in rule.gate:
         hit = lower.contains(word)
         out = hit if out is None else out | hit
+    if rule.shape:
+        first = digit if rule.shape.startswith(r"(?U)\d") else out
+        out = text.rlike(rule.shape) if first is None else first & text.rlike(rule.shape)
     return out
 
 

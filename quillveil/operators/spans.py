@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,47 +13,72 @@ from .rules import Rule, gate_of
 EMPTY = f"cast(array() as array<{SPAN}>)"
 
 
-def matches(text: Column, rule: Rule, rank: int, source: str = "regex") -> Column:
-    """All accepted matches of a rule, in text order.
+def _record(rule: Rule, rank: int) -> Column:
+    parts = {"rank": rank, "entity_type": rule.entity_type, "pattern": rule.java, "group": rule.group, "quoted": rule.quoted}
+    return F.struct(*[F.lit(v).alias(k) for k, v in parts.items()])
+
+
+def matches(text: Column, rule: Column, source: str = "regex") -> Column:
+    """All matches of a rule record, in text order.
 
     Offsets are running sums of the lengths of what lies between and inside matches, which counts
-    code points; index functions of the engine count UTF-16 units.
+    code points; index functions of the engine count UTF-16 units. There is one more gap than there
+    are matches, and its match is null.
     """
-    pattern = F.lit(rule.java)
-    gaps = F.split(text, rule.java, -1)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    items = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), values.alias("value"))
+    items = F.arrays_zip(
+        F.split(text, rule["pattern"], -1).alias("gap"),
+        F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, rule["pattern"], rule["group"]).alias("value"),
+    )
 
     def span(acc: Column, x: Column) -> Column:
-        end = acc.at + F.char_length(x["gap"]) + F.char_length(x["whole"])
-        stop = end - F.when(x["whole"].rlike("[\"']$"), 1).otherwise(0) if rule.quoted else end
+        end = acc["at"] + F.char_length(x["gap"]) + F.char_length(x["whole"])
+        stop = end - F.when(rule["quoted"] & x["whole"].rlike("[\"']$"), 1).otherwise(0)
         found = F.struct(
             (stop - F.char_length(x["value"])).alias("start"),
             stop.alias("end"),
-            F.lit(rule.entity_type).alias("entity_type"),
+            rule["entity_type"].alias("entity_type"),
             x["value"].alias("text"),
             F.lit(1.0).alias("confidence"),
             F.lit(source).alias("source"),
-            F.lit(rank).alias("rank"),
+            rule["rank"].alias("rank"),
         )
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(found)).alias("out"))
+        return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
+
+    return F.aggregate(items, F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out")), span, lambda acc: acc["out"])
 
-    found = F.aggregate(items, F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out")), span, lambda acc: acc.out)
-    if rule.check:
-        found = F.filter(found, lambda s: rule.check(s["text"], text, s["start"], s["end"]))
-    return found
 
+def accepted(text: Column, found: Column, rules: Sequence[Rule]) -> Column:
+    """The matches that pass their rule's check."""
+    shared: dict[object, list[int]] = {}
+    for rank, rule in enumerate(rules):
+        if rule.check:
+            shared.setdefault(rule.check, []).append(rank)
+
+    def ok(s: Column) -> Column:
+        out = None
+        for check, ranks in shared.items():
+            mine, good = s["rank"].isin(*ranks), check(s["text"], text, s["start"], s["end"])
+            out = F.when(mine, good) if out is None else out.when(mine, good)
+        return out.otherwise(F.lit(True))
 
-def candidates(text: Column, rules: Iterable[Rule], lower: Column | None = None, source: str = "regex", digit: Column | None = None) -> Column:
-    """The matches of all rules in rule order."""
+    return F.filter(found, ok) if shared else found
+
+
+def candidates(text: Column, rules: Sequence[Rule], lower: Column | None = None, source: str = "regex", digit: Column | None = None) -> Column:
+    """The accepted matches of all rules in rule order.
+
+    The plan holds the matcher once, over an array of the rules whose gate the text passes.
+    """
     low = F.lower(text) if lower is None else lower
     has = text.rlike(r"\p{Nd}") if digit is None else digit
-    parts = []
+    if not rules:
+        return F.expr(EMPTY)
+    records = []
     for rank, rule in enumerate(rules):
-        gate, found = gate_of(rule, text, low, has), matches(text, rule, rank, source)
-        parts.append(found if gate is None else F.when(gate, found).otherwise(F.expr(EMPTY)))
-    return F.flatten(F.array(*parts)) if parts else F.expr(EMPTY)
+        gate, record = gate_of(rule, text, low, has), _record(rule, rank)
+        records.append(record if gate is None else F.when(gate, record))
+    return accepted(text, F.flatten(F.transform(F.array_compact(F.array(*records)), lambda r: matches(text, r, source))), rules)
 
 
 def overlap(a: Column, b: Column) -> Column:
