@@ -3,10 +3,12 @@
 Centroids come from a bounded sample by recursive halving at the median of a two-means direction,
 so lists start out balanced. A vector joins its nearest list and, if it lies near a boundary
 (distance within ``1 + REPLICATE`` of the nearest), further ones that no list already chosen
-shadows. A query searches the centroids by best-first walk over their neighbour graph, held in
-memory, and probes the lists whose distance is within ``1 + PRUNE`` of the nearest (at most
-``PROBES``). Lists above ``BLOCK`` vectors are split into blocks that are all searched, so no list is
-capped. Distances are exact, in double precision on the original vectors.
+shadows: a list is shadowed by one whose centroid is nearer to its own than ``SHADOW`` times the
+vector is. A query searches the centroids by best-first walk over their neighbour graph, held in
+memory, and probes all lists whose distance is within ``1 + PRUNE`` of the nearest. On clustered
+vectors these are few; on vectors spread evenly over a sphere they are most, since nothing tells
+near lists from far ones. Lists above ``BLOCK`` vectors are split into blocks that are all searched,
+so no list is capped. Distances are exact, in double precision on the original vectors.
 
 Equal vectors are one node that keeps its ``k + 1`` smallest ids: no answer can hold more of them.
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do those
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship
 
 LIST, MAX_LISTS, SAMPLE, BLOCK = 128, 4096, 32_768, 4096
-REPLICATE, COPIES = 0.15, 6
-PRUNE, PROBES, BEAM, DEGREE = 0.45, 96, 128, 24
+REPLICATE, COPIES, SHADOW = 0.1, 4, 0.6
+PRUNE, BEAM, DEGREE = 0.17, 64, 24
 SALTS = 64
 
 
@@ -90,35 +92,34 @@ class Graph:
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
         self.between = d
 
-    def search(self, q: np.ndarray, beam: int = BEAM) -> list[tuple[float, int]]:
-        """The nearest centroids found, nearest first."""
+    def search(self, q: np.ndarray, spread: float = PRUNE, beam: int = BEAM) -> list[tuple[float, int]]:
+        """The centroids found within ``1 + spread`` of the nearest, nearest first.
+
+        Best first: the walk ends when ``beam`` centroids are expanded and all that is left lies outside.
+        """
         seen = np.zeros(len(self.c), dtype=bool)
         first = np.unique(np.append(self.entries, self.start))
         seen[first] = True
-        dist = np.sqrt(((self.c[first] - q) ** 2).sum(axis=1))
-        todo = [(d, i) for d, i in zip(dist.tolist(), first.tolist(), strict=True)]
-        best = [(-d, i) for d, i in todo]
+        met = list(zip(np.sqrt(((self.c[first] - q) ** 2).sum(axis=1)).tolist(), first.tolist(), strict=True))
+        todo, nearest, expanded = list(met), min(met)[0], 0
         heapq.heapify(todo)
-        heapq.heapify(best)
         while todo:
             d, i = heapq.heappop(todo)
-            if len(best) >= beam and d > -best[0][0]:
+            if d > nearest * (1 + spread) and expanded >= beam:
                 break
+            expanded += 1
             new = self.links[i][~seen[self.links[i]]]
-            if not len(new):
-                continue
-            seen[new] = True
-            for e, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new.tolist(), strict=True):
-                if len(best) < beam or e < -best[0][0]:
-                    heapq.heappush(todo, (e, j))
-                    heapq.heappush(best, (-e, j))
-                    if len(best) > beam:
-                        heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
+            if len(new):
+                seen[new] = True
+                found = list(zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new.tolist(), strict=True))
+                nearest = min(nearest, min(found)[0])
+                met += found
+                for x in found:
+                    heapq.heappush(todo, x)
+        return sorted(x for x in met if x[0] <= nearest * (1 + spread))
 
     def probes(self, q: np.ndarray) -> list[int]:
-        found = self.search(q)[:PROBES]
-        return [i for d, i in found if d <= found[0][0] * (1 + PRUNE)]
+        return [i for _, i in self.search(q)]
 
     def postings(self, x: np.ndarray) -> list[list[int]]:
         """The lists of each vector."""
@@ -133,7 +134,7 @@ class Graph:
                 for i in cand.tolist():
                     if row[i] > row[cand[0]] * (1 + REPLICATE) or len(own) >= COPIES:
                         break
-                    if all(self.between[i, j] >= row[i] for j in own):
+                    if all(self.between[i, j] >= SHADOW * row[i] for j in own):
                         own.append(i)
                 out.append(own)
         return out
