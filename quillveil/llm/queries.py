@@ -80,6 +80,17 @@ QUERIES = {
 _OCCURRENCES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in (*chat.CONTROL,))
 
 ORACLES = {
+    "op1_bagminhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, s, count(*) AS c FROM s GROUP BY doc_id, s),
+n AS (SELECT doc_id, CAST(sum(c) AS DOUBLE) AS n FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, CAST(sum(least(a.c, b.c)) AS DOUBLE) AS met FROM c a JOIN c b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE met / (x.n + y.n - met) >= 0.8),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k
+""",
     "op8_typed_chat_format": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

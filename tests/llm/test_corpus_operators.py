@@ -68,6 +68,21 @@ def test_exact_dedup_keeps_columns_and_one_row(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0 and exact_dedup.exact_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    result = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == cols
+    assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[names.index(c)] for c in cols)) for r in result.fetchall())
+
+
 # ---------------------------------------------------------------- sharding
 
 
