@@ -77,7 +77,7 @@ def _matches(path: Column, globs: tuple[str, ...]) -> Column:
 
 
 def skip_reason(path: Column, length: Column, settings: Settings) -> Column:
-    """Why a file is passed through: always-scrub globs come before never-scrub and skip globs; the size cap holds for all."""
+    """Why a file is passed through: always-redact globs come before never-redact and skip globs; the size cap holds for all."""
     denied = _matches(path, settings.deny_globs)
     return (
         F.when(~denied & _matches(path, settings.allow_globs), "allow_globs")
