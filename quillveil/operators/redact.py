@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import fresh
 from ..schema import Settings
 from .rules import RULES, Rule, literal_rule
-from .spans import EMPTY, candidates, mask, merge, overlap, resolve, resolve_tier
+from .spans import EMPTY, candidates, let, mask, merge, overlap, resolve, resolve_tier
 
 #: A model takes a DataFrame and the names of its masked-text and output columns and adds, per row,
 #: an array of spans.
@@ -124,8 +124,7 @@ def redacted(text: Column, placed: Column, public: tuple[str, ...]) -> Column:
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out")),
     )
-    # the fold is one column, so that it runs once
-    return F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))[0]
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
 
 
 def found(spans: Column, public: tuple[str, ...]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,10 +85,27 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _disjoint(placed: Column) -> Column:
+    pairs = F.zip_with(F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))), F.slice(placed, 2, F.size(placed)), lambda a, b: a["end"] <= b["start"])
+    return F.forall(pairs, lambda ok: ok)
+
+
 def _accept(ordered: Column) -> Column:
-    """Take spans in order, each unless it meets one already taken; then sort by place."""
-    taken = F.aggregate(ordered, F.expr(EMPTY), lambda acc, c: F.when(F.exists(acc, lambda a: overlap(a, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.array_sort(taken)
+    """Take spans in order, each unless it meets one already taken; then sort by place.
+
+    Spans that are disjoint to begin with, however many, need only the sort.
+    """
+
+    def fold(spans: Column) -> Column:
+        taken = F.aggregate(spans, F.expr(EMPTY), lambda acc, c: F.when(F.exists(acc, lambda a: overlap(a, c)), acc).otherwise(F.concat(acc, F.array(c))))
+        return F.array_sort(taken)
+
+    return let(ordered, lambda spans: let(F.array_sort(spans), lambda placed: F.when(_disjoint(placed), placed).otherwise(fold(spans))))
 
 
 def _by(spans: Column, *keys) -> Column:
