@@ -140,11 +140,18 @@ def redact(df: DataFrame, text_col: str = "text", settings: Settings = Settings(
     return out.withColumn("found", n).withColumn("redacted", F.when(F.col("found") == 0, t).otherwise(redacted(t, F.col("spans"), settings.public_types)))
 
 
+def exploded(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
+    """One row per span, as ``s``.
+
+    A plain explode makes the optimizer add a filter on the array's size and push the whole detection into it a
+    second time; an outer one does not.
+    """
+    return df.select(*keys, F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull())
+
+
 def report(redacted_df: DataFrame, *keys: str) -> DataFrame:
     """One row per span, public ones too, without any raw text."""
-    return redacted_df.select(*keys, F.explode("spans").alias("s")).select(
-        *keys, "s.placeholder", "s.entity_type", "s.start", "s.end", "s.confidence", "s.source"
-    )
+    return exploded(redacted_df, *keys).select(*keys, "s.placeholder", "s.entity_type", "s.start", "s.end", "s.confidence", "s.source")
 
 
 def report_json(redacted_df: DataFrame, path_col: str, text_col: str = "text") -> DataFrame:

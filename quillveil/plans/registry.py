@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boxes, decode, evaluate, policy
-from ..operators.redact import counts_by_type, detect, propagated, redact, report
+from ..operators.redact import counts_by_type, detect, exploded, propagated, redact, report
 from ..operators.rules import RULES, Rule
 from ..operators.spans import candidates, mask, resolve
 from ..runtime import table
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _rows(df: DataFrame, key: str, col: str = "spans") -> DataFrame:
-    return df.select(key, F.explode(col).alias("s")).select(key, "s.start", "s.end", F.col("s.text").alias("value"))
+    return exploded(df, key, spans=col).select(key, "s.start", "s.end", F.col("s.text").alias("value"))
 
 
 def _spans_of(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -141,7 +141,7 @@ FROM ({o.typed_sql("documents", "doc_id", "text")}) s JOIN documents d ON s.doc_
 )
 def counts_by_language(spark, sf_dir):
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), rules=TYPED)
-    rows = found.select("doc_id", "lang", F.explode("spans").alias("s"))
+    rows = exploded(found, "doc_id", "lang")
     return rows.groupBy("lang", F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -184,7 +184,7 @@ SELECT doc_id, t.s AS "start", t.e AS "end", substr('ABCD', t.k + 1, 1) AS entit
 )
 def resolved_overlaps(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.explode(resolve(candidates(F.col("text"), CLASHING))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type")
+    return exploded(docs.select("doc_id", resolve(candidates(F.col("text"), CLASHING)).alias("spans")), "doc_id").select("doc_id", "s.start", "s.end", "s.entity_type")
 
 
 KEYWORDS = ("the", "disgusting", " ")
@@ -295,7 +295,7 @@ def _cases(spark: SparkSession) -> DataFrame:
     + o.rows_sql([(c, t, v, text.index(v), text.index(v) + len(v)) for c, text, found in fixtures.RULE_CASES for t, v in found], 'case_id, entity_type, value, "start", "end"')
 )
 def rule_fixtures(spark, sf_dir):
-    return detect(_cases(spark)).select("case_id", F.explode("spans").alias("s")).select("case_id", "s.entity_type", F.col("s.text").alias("value"), "s.start", "s.end")
+    return exploded(detect(_cases(spark)), "case_id").select("case_id", "s.entity_type", F.col("s.text").alias("value"), "s.start", "s.end")
 
 
 _TRUTH = [(c, v, t) for c, _, found in fixtures.RULE_CASES for t, v in found] + [("ssn", "on file", "GIVEN_NAME")]
