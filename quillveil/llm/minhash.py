@@ -10,10 +10,11 @@ come in order of time and a process stops once it is later than every register's
 
 Registers are banded (``BANDS`` bands of ``ROWS``; at similarity 0.8 a pair meets in no band with
 probability 3e-6). Documents of equal words are one node first. In every bucket each node is compared
-with the bucket's smallest; then, in buckets that still hold more than one component, all pairs
-across components are compared by signature, in blocks, and only likely ones go on. Every link is
-verified on the multisets themselves (similarity >= 0.8). Classes are the components of the links;
-the class id is the smallest id in it.
+with the bucket's smallest and largest. In buckets that still hold more than one component, signatures
+tell, in blocks, which nodes can have a partner in another one; their multisets are compared inside
+the block, which gives out only links that join components, so rows stay linear in the nodes. Every
+link is verified on the multisets themselves (similarity >= 0.8). Classes are the components of the
+links; the class id is the smallest id in it.
 
 Null text and text without words is a class of its own, but rows that repeat with the same id and
 text count as one document everywhere. Null ids come last in a class. An empty table gives an empty
@@ -36,10 +37,10 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 #: A pair whose signatures agree in less than this share is not verified: at similarity 0.8 and 160
-#: registers this happens with probability below 1e-12.
-LIKELY = 0.55
+#: registers this happens with probability below 1e-8.
+LIKELY = 0.6
 BLOCK = 1 << 20
-MEMBERS = 2048
+MEMBERS, ITEMS = 2048, 2_000_000
 
 _SPLIT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -282,59 +283,105 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _across(batches):
-    """Streams blocks (key, i, j), sorted, and gives the likely pairs across components."""
+def _groups(batches, *keys: str) -> Iterator[pa.Table]:
+    """Sorted batches as one table for each run of equal keys."""
     key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(k[lo]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = tuple(k[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def compare():
-        rows = pa.Table.from_batches(held)
+
+def _open_members(batches):
+    """Of each block (key, i, j), the nodes with a likely partner in another component.
+
+    A pair counts in the first band in which it meets, so that it is looked at once.
+    """
+    for rows in _groups(batches, "key", "i", "j"):
         side, node, comp, n = (rows.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, M)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        key = rows.column("key")[0].as_py()
         a = np.flatnonzero(side <= 1)  # 0: block i; 2: block j; 1: both, i = j
         b = np.flatnonzero(side >= 1)
-        order = np.argsort(n[b], kind="stable")
-        b = b[order]
-        out = []
+        b = b[np.argsort(n[b], kind="stable")]
+        open_ = np.zeros(len(node), dtype=bool)
         for x in a:
             lo, hi = np.searchsorted(n[b], [SIMILAR * n[x] - 1e-9, n[x] / SIMILAR + 1e-9])
             y = b[lo:hi]
             y = y[comp[y] != comp[x]]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= LIKELY] if len(y) else y
             if len(y):
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= LIKELY]
-                out += [(min(node[x], node[z]), max(node[x], node[z])) for z in y]
+                before = int(np.argmax(bands[x] == key))
+                y = y[~(bands[y][:, :before] == bands[x][:before]).any(axis=1)]
+                open_[y] = True
+                open_[x] |= len(y) > 0
+        if open_.any():
+            yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(open_)) for c in ("key", "i", "j", "node", "comp")], names=["key", "i", "j", "node", "comp"])
+
+
+def _links_inside(batches):
+    """Of each block, exact links that join its components: at most one fewer than it has nodes."""
+    for rows in _groups(batches, "key", "i", "j"):
+        node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("items").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        item, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        _, group = np.unique(comp, return_inverse=True)
+        mark, out = np.zeros(len(item), dtype=np.int32), []
+        for x in range(len(sets)):
+            if (group == group[x]).all():
+                continue
+            mine = flat[starts[x] : starts[x] + size[x]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[mine] = 0
+            near = np.flatnonzero((both >= SIMILAR * (size + size[x] - both) - 1e-9) & (group != group[x]))
+            for y in near:
+                if group[y] != group[x] and both[y] / (size[x] + size[y] - both[y]) >= SIMILAR:
+                    out.append((node[x], node[y]))
+                    group[group == group[y]] = group[x]
         if out:
-            got = np.unique(np.array(out, dtype=np.int64), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            got = np.array(out, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["u", "v"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and tuple(k[lo]) != key:
-                yield from compare()
-                held = []
-            key = tuple(k[lo])
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield from compare()
 
+def _late_links(multi: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in the buckets that hold more than one.
 
-def _open_pairs(multi: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Likely pairs across components in the buckets that hold more than one."""
+    Blocks hold at most MEMBERS nodes and about ITEMS shingles on each side. Signatures tell which nodes of a
+    block can have a partner in it; only for those the multisets are fetched, and compared in the block.
+    """
     rows = multi.select("key", "node").join(comp.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    rows = rows.join(nodes.select("node", "n"), "node")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).filter("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / MEMBERS, F.col("items") / ITEMS)).cast("int")
     inside = (
-        rows.join(mixed.select("key", "size"), "key")
-        .join(nodes.select("node", "n", "sig"), "node")
-        .withColumn("blocks", blocks)
+        rows.join(mixed.select("key", blocks.alias("blocks")), "key")
+        .join(nodes.select("node", "sig", "bands"), "node")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"), "node", "comp", "n", "sig")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"), "node", "comp", "n", "sig", "bands")
     )
-    return inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
+    found = inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open_members, "key long, i int, j int, node long, comp long")
+    full = found.join(sets, "node")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links_inside, "u long, v long")
+
+
+def _stars(multi: DataFrame) -> DataFrame:
+    """Every node of a bucket with the bucket's smallest and largest."""
+    ends = multi.select("node", F.explode(F.array("rep", "last")).alias("end")).filter("node <> end")
+    return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -351,9 +398,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         "near-nodes",
     )
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "rep")
+    shared = buckets.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).filter("last > rep")
     multi = materialize(buckets.join(shared, "key"), "near-buckets")
-    stars = materialize(_likely(multi.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), nodes), "near-stars")
+    stars = materialize(_likely(_stars(multi), nodes), "near-stars")
 
     wanted = multi.select("node").distinct().join(nodes.select("node", "doc_id", "x1", "x2"), "node")
     whole = text.alias("t").join(
@@ -374,8 +421,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     sets = materialize(whole.mapInArrow(items, "node long, items binary").dropDuplicates(["node"]), "near-sets")
     links = materialize(_verified(stars, sets), "near-links")
     comp = components(links)
-    late = materialize(_open_pairs(multi, nodes, comp).join(stars, ["a", "b"], "left_anti"), "near-open")
-    more = materialize(_verified(late, sets), "near-more")
+    more = materialize(_late_links(multi, nodes, comp, sets), "near-more")
     if not more.isEmpty():
         comp = components(comp.unionByName(more))
     for t in (sets, stars, multi):
