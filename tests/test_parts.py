@@ -146,3 +146,32 @@ def test_stream_of_files_uses_the_cache(spark, tmp_path):
     rows = spark.read.parquet(f"{out}/redacted").collect()
     assert sorted(x.redacted for x in rows) == ["card [CREDIT_CARD_1]", "mail [EMAIL_1]", "nothing here"]
     assert spark.read.parquet(f"{out}/reports").count() == 3
+
+
+def test_requests_in_bulk(spark):
+    from quillveil.operators.service import respond, respond_json
+
+    rows = spark.createDataFrame([(1, "ping", None), (2, "redact_text", "mail a@b.com"), (3, "redact_text", None), (4, "dance", "a@b.com"), (5, None, None)], "id int, op string, text string")
+    got = {r.id: (r.ok, r.redacted, r.found, r.error) for r in respond(rows).collect()}
+    assert got == {1: (True, None, None, None), 2: (True, "mail [EMAIL_1]", 1, None), 3: (True, "", 0, None), 4: (False, None, None, "unknown op: dance"), 5: (False, None, None, "unknown op: null")}
+    lines = spark.createDataFrame([('{"op":"redact_text","text":"a@b.com"}',)], "value string")
+    assert respond_json(lines).first().response == '{"ok":true,"redacted":"[EMAIL_1]","found":1}'
+
+
+def test_command_line(spark, tmp_path):
+    from quillveil.__main__ import parser, run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("mail a@b.com or c@d.org, see https://x.example/")
+    out = str(tmp_path / "out")
+    assert run(spark, parser().parse_args(["redact", str(tmp_path / "in"), "--out", out])) == ["EMAIL\t2"]
+    row = spark.read.parquet(f"{out}/redacted").first()
+    assert row.redacted == "mail [EMAIL_1] or [EMAIL_2], see https://x.example/" and row.name.endswith(".redacted.txt")
+    told = run(spark, parser().parse_args(["scan", str(tmp_path / "in"), "--json"]))
+    assert len(told) == 1 and "a@b.com" not in told[0]
+
+
+def test_page_files_are_optional():
+    from quillveil.sources import pdf
+
+    assert pdf.available() in (True, False)
