@@ -140,6 +140,19 @@ class Graph:
         return out
 
 
+def shelves(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(list, shelf, blocks): neighbouring lists share a shelf of at most BLOCK vectors; a list above that
+    has a shelf of its own, in blocks. A query gives one partial answer a shelf and block."""
+    out, shelf, room = [], 0, 0
+    for name in sorted(sizes):
+        n = sizes[name]
+        if n > room or n > BLOCK:
+            shelf, room = shelf + 1, BLOCK
+        out.append((name, shelf, max(1, -(-n // BLOCK))))
+        room = room - n if n <= BLOCK else 0
+    return out
+
+
 def _vectors(column) -> np.ndarray:
     """Packed float64 vectors of one length as a matrix."""
     rows = list(column)
@@ -212,26 +225,34 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), *(b.column(c).take(pa.array(at)) for c in ("node", "v"))], names=["list", "node", "v"])
 
     postings = materialize(nodes.select("node", "v", "ids").mapInArrow(posted, "list int, node long, v binary, ids array<long>"), "ann-postings")
-    blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # MAX_LISTS rows at most
+    sizes = {r["list"]: r.n for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
+    # one for each side: cogroup cannot tell the columns of a shared one apart
+    mine, theirs = (spark.createDataFrame(shelves(sizes), "list int, shelf int, blocks int") for _ in range(2))
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2", "uid").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     asking = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v").repartition("node")
-    right = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = asking.mapInArrow(probed, "list int, node long, v binary").join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = postings.join(F.broadcast(mine), "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = asking.mapInArrow(probed, "list int, node long, v binary").join(F.broadcast(theirs), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def block(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "i": pd.Series(dtype="int32"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(q) or not len(p):
-            return none
-        v, ids, node, qs, out = _vectors(p["v"]), p["ids"].tolist(), p["node"].to_numpy(), q["node"].to_numpy(), []
-        for lo in range(0, len(q), 256):
-            d, near = _top(_vectors(q["v"].iloc[lo : lo + 256]), v, k + 1)
-            for i in range(len(d)):
-                at = np.flatnonzero(near[i])
-                best = sorted((d[i, j], x, node[j], r) for j in at.tolist() for r, x in enumerate(ids[j]))[: k + 1]
-                out += [(qs[lo + i], c, r, x, s) for s, x, c, r in best]
-        return pd.DataFrame(out, columns=["q", "c", "i", "vec_id", "score"])
-
-    found = left.select("list", "block", "node", "v").groupBy("list", "block").cogroup(right.select("list", "block", "node", "v", "ids").groupBy("list", "block")).applyInPandas(
+        out = []
+        if len(q) and len(p):
+            v, ids, node = _vectors(p["v"]), p["ids"].tolist(), p["node"].to_numpy()
+            of_list, asked_list = p.groupby("list").indices, q.groupby("list").indices
+            qv, qs = _vectors(q["v"]), q["node"].to_numpy()
+            best: dict[int, set] = {}  # per query its k + 1 best so far, over the shelf's lists
+            for name, at in asked_list.items():
+                own = of_list.get(name)
+                for lo in range(0, len(at) if own is not None else 0, 256):
+                    part = at[lo : lo + 256]
+                    d, near = _top(qv[part], v[own], k + 1)
+                    for i, x in enumerate(part.tolist()):
+                        new = {(d[i, j], e, node[own[j]], r) for j in np.flatnonzero(near[i]).tolist() for r, e in enumerate(ids[own[j]])}
+                        best[qs[x]] = set(heapq.nsmallest(k + 1, best.get(qs[x], set()) | new))
+            out = [(x, c, r, e, s) for x, found in best.items() for s, e, c, r in found]
+        got = pd.DataFrame(out, columns=["q", "c", "i", "vec_id", "score"])
+        return got.astype({"q": "int64", "c": "int64", "i": "int32", "vec_id": "int64", "score": "float64"})
+
+    found = left.select("shelf", "block", "list", "node", "v").groupBy("shelf", "block").cogroup(right.select("shelf", "block", "list", "node", "v", "ids").groupBy("shelf", "block")).applyInPandas(
         block, "q long, c long, i int, vec_id long, score double"
     )
     once = found.groupBy("q", "c", "i").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))  # replicas
