@@ -72,18 +72,24 @@ def normalized(text: str | None) -> bytes:
 
 
 def _parts(owner: int, norm: bytes) -> Iterator[tuple[int, bytes]]:
-    """A text in parts of about BLOCK bytes; the next part begins with the last four words again."""
+    """A text in parts of about BLOCK bytes; the next part begins with the last four words again.
+
+    A part grows until it holds more than these four words, however long they are, so every part adds words.
+    """
     at = 0
     while at < len(norm):
-        end = len(norm) if at + BLOCK >= len(norm) else norm.find(b" ", at + BLOCK)
-        end = len(norm) if end < 0 else end
+        end, back = at + BLOCK, -1
+        while back < 0:
+            end = norm.find(b" ", end) if end < len(norm) else -1
+            if end < 0:
+                yield owner, norm[at:]
+                return
+            back = end
+            for _ in range(WORDS - 1):
+                back = norm.rfind(b" ", at, back) if back >= 0 else -1
+            end += back < 0
         yield owner, norm[at:end]
-        if end == len(norm):
-            return
-        back = end
-        for _ in range(WORDS - 1):
-            back = norm.rfind(b" ", at, back)
-        at = back + 1 if back > at else end + 1
+        at = back + 1
 
 
 def shingles(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -372,6 +372,28 @@ def test_long_texts_by_parts_have_the_same_shingles(monkeypatch):
     assert (np.sort(minhash.shingles([norm, b"a b c", b"", b"a b c d e f"])[0]) == whole).all() and len(whole) == 6000 - 4 + 1 + 2
 
 
+def test_words_longer_than_a_part_hide_nothing(monkeypatch):
+    rng = random.Random(7)
+
+    def word(n):
+        return "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    short = [word(rng.randint(1, 9)) for _ in range(400)]
+    texts = [" ".join([word(300), *short]), " ".join([*short[:200], word(300), word(500), *short[200:], word(200)]), " ".join(word(rng.choice((3, 150))) for _ in range(200)), word(900)]
+    norms = [minhash.normalized(t) for t in texts]
+    whole = minhash.shingles(norms)
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    cut = minhash.shingles(norms)
+    for i in range(len(texts)):
+        assert sorted(whole[0][whole[1] == i].tolist()) == sorted(cut[0][cut[1] == i].tolist()), i
+
+
+def test_a_first_word_longer_than_the_real_part():
+    words = ["x" * (minhash.BLOCK + 5), *(f"w{i}" for i in range(300_000))]
+    h, _ = minhash.shingles([minhash.normalized(" ".join(words))])
+    assert len(h) == len(words) - 4
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (5, 5), (20, 3)]
     got = {r.u: r.v for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
