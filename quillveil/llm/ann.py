@@ -5,8 +5,10 @@ so lists start out balanced. A vector joins its nearest list and, if it lies nea
 (distance within ``1 + REPLICATE`` of the nearest), further ones that no list already chosen
 shadows: a list is shadowed by one whose centroid is nearer to its own than ``SHADOW`` times the
 vector is. A query searches the centroids by best-first walk over their neighbour graph, held in
-memory, and probes all lists whose distance is within ``1 + PRUNE`` of the nearest. On clustered
-vectors these are few; on vectors spread evenly over a sphere they are most, since nothing tells
+memory, and probes all lists whose distance is within ``1 + PRUNE`` of the nearest. Where the nearest
+list is the first list of fewer than ``k + 1`` distinct vectors, the ratio counts from the list, nearest
+first, at which there are so many, so an answer is short only if the table is. On clustered
+vectors the lists are few; on vectors spread evenly over a sphere they are most, since nothing tells
 near lists from far ones. Lists above ``BLOCK`` vectors are split into blocks that are all searched,
 so no list is capped. Distances are exact, in double precision on the original vectors.
 
@@ -118,8 +120,15 @@ class Graph:
                     heapq.heappush(todo, x)
         return sorted(x for x in met if x[0] <= nearest * (1 + spread))
 
-    def probes(self, q: np.ndarray) -> list[int]:
-        return [i for _, i in self.search(q)]
+    def probes(self, q: np.ndarray, first: np.ndarray, need: int) -> list[int]:
+        """The lists to probe; ``first`` tells of each how many vectors have it as their nearest list."""
+        near = [i for _, i in self.search(q)]
+        if first[near[0]] >= need:
+            return near
+        d = np.sqrt(((self.c - q) ** 2).sum(axis=1))
+        order = np.argsort(d, kind="stable")
+        last = min(int(np.searchsorted(np.cumsum(first[order]), need)), len(order) - 1)
+        return order[(np.arange(len(order)) <= last) | (d[order] <= d[order[last]] * (1 + PRUNE))].tolist()
 
     def postings(self, x: np.ndarray) -> list[list[int]]:
         """The lists of each vector."""
@@ -215,17 +224,21 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             if b.num_rows:
                 lists = shared.value.postings(_vectors(b.column("v").to_pylist()))
                 at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), *(b.column(c).take(pa.array(at)) for c in ("node", "v", "ids"))], names=["list", "node", "v", "ids"])
+                first = pa.array([j == 0 for x in lists for j in range(len(x))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), first, *(b.column(c).take(pa.array(at)) for c in ("node", "v", "ids"))], names=["list", "first", "node", "v", "ids"])
 
     def probed(batches):
         for b in batches:
             if b.num_rows:
-                lists = [shared.value.probes(q) for q in _vectors(b.column("v").to_pylist())]
+                lists = [shared.value.probes(q, first, k + 1) for q in _vectors(b.column("v").to_pylist())]
                 at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), *(b.column(c).take(pa.array(at)) for c in ("node", "v"))], names=["list", "node", "v"])
 
-    postings = materialize(nodes.select("node", "v", "ids").mapInArrow(posted, "list int, node long, v binary, ids array<long>"), "ann-postings")
-    sizes = {r["list"]: r.n for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
+    postings = materialize(nodes.select("node", "v", "ids").mapInArrow(posted, "list int, first boolean, node long, v binary, ids array<long>"), "ann-postings")
+    counts = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("f")).collect()  # MAX_LISTS rows at most
+    sizes = {r["list"]: r.n for r in counts}
+    first = np.zeros(len(graph.c), dtype=np.int64)
+    first[[r["list"] for r in counts]] = [r.f for r in counts]
     # one for each side: cogroup cannot tell the columns of a shared one apart
     mine, theirs = (spark.createDataFrame(shelves(sizes), "list int, shelf int, blocks int") for _ in range(2))
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2", "uid").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])

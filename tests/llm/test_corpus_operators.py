@@ -453,6 +453,24 @@ def test_search_edges(spark):
     assert one.count() == 0
 
 
+def test_far_vectors_and_small_tight_groups_get_whole_answers(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    far = [0, 1000, 2000]
+    x[far] *= 50
+    for i in (500, 1500, 2500):  # groups of three, apart from all others
+        x[i : i + 3] = x[i] * 20 + rng.normal(size=(3, 16)) * 1e-6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=500).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    want = brute_search(rows, every=500)
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
+    for q in (*far, 500, 1500, 2500):
+        assert [r.vec_id for r in got[q]] == [j for _, j in want[q][0]], q
+
+
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
