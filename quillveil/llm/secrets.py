@@ -4,7 +4,7 @@ All matching runs over whole texts inside the JVM. Offsets are code points, end
 counts as the empty text and has no spans. Per kind, matches are leftmost and non-overlapping and
 matches that fail their length test are dropped. An entropy span is a candidate string with a
 window whose entropy reaches its character class's threshold; it is left out if an allow pattern
-matches or if it overlaps a base span. Every row stands alone, so ties, repeated rows and empty
+describes all of it or if it overlaps a base span. Every row stands alone, so ties, repeated rows and empty
 tables need nothing special, and other columns are not read.
 
 The entropy of a window of w characters is log2(w) - S/w with S the sum of c*log2(c) over the
@@ -40,13 +40,17 @@ CLASSES = (
     CharClass("base64", r"^[0-9A-Za-z+/_=-]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 20, 3.8),
 )
 CANDIDATE = r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{20,}+"
+_WORD = r"(?:[A-Z]?[a-z]{1,24}(?:[A-Z][a-z]{2,24}){0,3}|[A-Z]{1,24}|(?=[0-9]))[0-9]{0,4}"
+_SEGMENT = rf"{_WORD}(?:[_-]{_WORD})*+"
+# Every pattern describes a whole candidate: what merely stands beside a secret must not hide it.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUID
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
-    r"(?i)0123456789|123456789|abcdefgh",
+    # made-up values: nothing but stand-in words, labels, runs of the alphabet and signs
+    r"(?i)^(?:example|sample|placeholder|dummy|changeme|x{4,}+|your|my|test|api|access|secret|private|key|token|password|passwd|value|id|here"
+    r"|0?1234567890?|abcdefgh(?:ijklmnop(?:qrstuvwxyz)?)?|[+/_=-])++$",
     r"^[^0-9]+$",  # no digit: words joined by signs
     r"^[^A-Za-z]+$",  # no letter: numbers, dates, rules
-    r"^/|//",  # paths
+    rf"^(?=/|.*//)(?:{_SEGMENT})?+(?:/{{1,2}}{_SEGMENT}){{2,}}+/?$",  # paths of two or more plain names
 )
 
 

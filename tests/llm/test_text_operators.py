@@ -84,6 +84,22 @@ def test_peak_entropy_is_the_largest_window(spark):
     assert got == pytest.approx(max(entropy(value[i : i + 20]) for i in range(len(value) - 19)))
 
 
+def test_secrets_allow_list_hides_no_key_beside_it(spark):
+    key = "qW3rT6yU8iO0pA2sD4fG6hJ8kL1zX3cV5bN7mQ9"
+    found = [f"/{key}", f"{key[:20]}//{key[20:]}", f"{key}xxxx{key}", f"example{key}", f"{key}/sample/{key}", f"abcdefgh{key}", f"{key}0123456789", f"{key}=" * 50 + "//", f"/usr/lib/{key}"]
+    clean = [
+        "123e4567-e89b-12d3-a456-426614174000",
+        "your-example-api-key-1234567890",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        "/usr/lib/python3/dist-packages/setup_tools2/README",
+        "//docs/2024/05/release-notes-v2/index/",
+        "/usr/local2" * 5000,
+    ]
+    rows = secrets.secret_report(frame(spark, found + clean)).collect()
+    want = [f"entropy:0:{len(x)}" for x in found] + [""] * len(clean)
+    assert [r.spans for r in sorted(rows, key=lambda r: r.doc_id)] == want
+
+
 # ---------------------------------------------------------------- licences
 
 
