@@ -13,6 +13,7 @@ columns are not read. Texts are streamed in blocks, so their length is not bound
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -134,7 +135,7 @@ class Scanner:
             self.phrases_at[v] = self.phrases_at[up] + own
 
     def scan(self, text: str | None) -> dict:
-        """n_words, phrase places (start, phrase), and per template its best covered span."""
+        """n_words, phrase places (start, phrase), and per template its best covered span and all disjoint ones."""
         edges, link, length, phrases_at = self.auto.next, self.auto.link, self.auto.length, self.phrases_at
         v = size = n = 0
         places: list[tuple[int, int]] = []
@@ -163,11 +164,13 @@ class Scanner:
             n += len(block)
         if size >= MIN_MATCH:
             anchors.append((n - size, size, v))
-        return {"n_words": n, "places": places, "covers": self._chain(anchors)}
+        best, whole = self._chain(anchors)
+        return {"n_words": n, "places": places, "covers": best, "spans": {t: self._disjoint(c) for t, c in whole.items()}}
 
-    def _chain(self, anchors: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """template -> (share of its words covered, first word, last word), best chain each."""
+    def _chain(self, anchors: list[tuple[int, int, int]]) -> tuple[dict[int, tuple[float, int, int]], dict[int, list[tuple[float, int, int]]]]:
+        """template -> (share of its words covered, first word, last word): the best chain, and all that reach COVER."""
         best: dict[int, tuple[float, int, int]] = {}
+        whole: dict[int, list[tuple[float, int, int]]] = {}
         open_: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> (text end, template end, covered, first)
         for start, size, v in anchors:
             for t, i in self.auto.ends[v]:
@@ -180,7 +183,19 @@ class Scanner:
                 share = chain[2] / self.sizes[t]
                 if share > best.get(t, (0.0,))[0]:
                     best[t] = (share, chain[3], chain[0] - 1)
-        return best
+                if share >= COVER:
+                    whole.setdefault(t, []).append((share, chain[3], chain[0] - 1))
+        return best, whole
+
+    @staticmethod
+    def _disjoint(chains: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+        """Of chains that overlap, the one of the larger share, then the earlier one; by first word."""
+        out: list[tuple[float, int, int]] = []
+        for c in sorted(chains, key=lambda c: -c[0]):
+            at = bisect_left(out, c[1], key=lambda o: o[1])
+            if (at == 0 or out[at - 1][2] < c[1]) and (at == len(out) or c[2] < out[at][1]):
+                out.insert(at, c)
+        return out
 
 
 _SCANNER: list[Scanner] = []
@@ -212,7 +227,7 @@ def scan_text(text: str | None) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | {s.labels[t] for t in found})),
         "score": 1.0 if base else max((c[0] for c in got["covers"].values()), default=0.0),
-        "spans": [{"label": s.labels[t], "first": a, "last": b, "cover": c} for t, (c, a, b) in sorted(found.items())],
+        "spans": [{"label": s.labels[t], "first": a, "last": b, "cover": c} for t in sorted(found) for c, a, b in got["spans"][t]],
     }
 
 

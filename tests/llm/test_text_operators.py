@@ -148,6 +148,15 @@ def test_license_cover_labels_a_notice_without_its_name():
     assert licenses.scan_text("granted free of charge to")["labels"] == ""
 
 
+def test_license_notice_carried_several_times_gives_each_span():
+    text = licenses.TEMPLATES[0][1]
+    n = licenses.scan_text(text)["n_words"]
+    gap = " ".join(f"other{i}" for i in range(100))
+    got = licenses.scan_text(f"{text} {gap} {text} {gap} {text}")
+    mine = [(s["first"], s["last"]) for s in got["spans"] if s["label"] == licenses.TEMPLATES[0][0]]
+    assert mine == [(k * (n + 100), k * (n + 100) + n - 1) for k in range(3)]
+
+
 def test_matching_statistics_brute_force():
     s = licenses.Scanner()
     grams = set()
