@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.redact import exploded, redact, report_json
+from .runtime import materialize
 from .schema import Settings
 from .sources.files import extract_text, output_name, read_files
 
@@ -23,24 +26,28 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+def run(spark: SparkSession, args: argparse.Namespace) -> Iterator[str]:
     settings = Settings()
     if args.config:
         with open(args.config, encoding="utf-8") as f:
             settings = Settings.from_toml(f.read())
     rows = extract_text(read_files(spark, args.path), settings)
-    done = redact(rows.filter("skip_reason is null"), "text", settings)
+    # written once: every report and count below reads what was found, and nothing is detected again
+    done = materialize(redact(rows, "text", settings), "cli")
+    skipped = F.col("skip_reason").isNotNull()
     if args.action == "redact":
         if not args.out:
             raise ValueError("redact needs --out")
         name = output_name(F.col("path"), F.col("content_hash"), settings.fingerprint())
-        hit = done.filter("found > 0")
+        hit = done.filter(~skipped & (F.col("found") > 0))
         hit.select("path", name.alias("name"), "redacted", "found").write.mode("overwrite").parquet(f"{args.out}/redacted")
         report_json(hit, "path").write.mode("overwrite").parquet(f"{args.out}/reports")
+    told = done.filter(skipped).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")).orderBy("skip_reason")
+    lines = [f"skipped\t{r.skip_reason}\t{r.n}" for r in told.collect()]  # one row a reason
     if args.json:
-        return [r.report for r in report_json(done, "path").toLocalIterator()]
+        return chain((r.report for r in report_json(done.filter(~skipped), "path").toLocalIterator()), lines)
     counts = exploded(done).filter(~F.col("s.entity_type").isin(*settings.public_types)).groupBy(F.col("s.entity_type").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    return [f"{r.t}\t{r.n}" for r in counts.orderBy("t").collect()]  # one row a type
+    return chain([f"{r.t}\t{r.n}" for r in counts.orderBy("t").collect()], lines)  # one row a type
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -8,10 +8,11 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import PIECE, let, pieces, running_max, running_sum
 from ..runtime import fresh
 from ..schema import Settings
-from .rules import RULES, Rule, literal_rule
-from .spans import EMPTY, candidates, let, mask, merge, overlap, resolve, resolve_tier
+from .rules import RULES, Rule, folded, literal_rule
+from .spans import EMPTY, candidates, mask, merge, overlap, resolve, resolve_tier
 
 #: A model takes a DataFrame and the names of its masked-text and output columns and adds, per row,
 #: an array of spans.
@@ -43,27 +44,19 @@ def propagated(text: Column, spans: Column) -> Column:
         s = x["s"]
         pattern = F.concat(F.lit(r"(?dUi)(?<!\w)\Q"), F.replace(s["text"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
         hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-        placed = F.aggregate(
-            F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-            F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out")),
-            lambda a, h: F.struct(
-                (a["at"] + F.char_length(h["gap"]) + F.char_length(h["hit"])).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.char_length(h["gap"])).alias("start"),
-                            (a["at"] + F.char_length(h["gap"]) + F.char_length(h["hit"])).alias("end"),
-                            s["entity_type"].alias("entity_type"),
-                            h["hit"].alias("text"),
-                            s["confidence"].alias("confidence"),
-                            F.lit("propagated").alias("source"),
-                            F.lit(1000).alias("rank"),
-                        )
-                    ),
-                ).alias("out"),
+        ends = running_sum(F.zip_with(F.transform(F.slice(gaps, 1, F.size(hits)), lambda g: F.char_length(g)), hits, lambda g, h: g + F.char_length(h)))
+        placed = F.zip_with(
+            hits,
+            ends,
+            lambda h, end: F.struct(
+                (end - F.char_length(h)).alias("start"),
+                end.alias("end"),
+                s["entity_type"].alias("entity_type"),
+                h.alias("text"),
+                s["confidence"].alias("confidence"),
+                F.lit("propagated").alias("source"),
+                F.lit(1000).alias("rank"),
             ),
-            lambda a: a["out"],
         )
         return F.concat(acc, F.filter(placed, lambda p: (p["start"] != s["start"]) & ~F.exists(F.concat(spans, acc), lambda o: overlap(o, p))))
 
@@ -91,7 +84,7 @@ def detect(
     found = found.withColumns({low: F.lower(t), digit: t.rlike(r"\p{Nd}")})
     found = found.withColumn(out, _resolved(raw, low, digit, tuple(rules)) if settings.enable_rules else F.expr(EMPTY))
     if keywords := [k for k in settings.custom_keywords if k.strip()]:
-        custom = candidates(t, [literal_rule(k) for k in keywords], F.col(low), "custom", F.col(digit))
+        custom = candidates(t, [literal_rule(k) for k in keywords], folded(F.col(low)), "custom", F.col(digit))
         found = found.withColumn(out, resolve_tier(F.concat(F.col(out), custom)))
     found, t = found.drop(low, digit, raw), F.coalesce(F.col(text_col), F.lit(""))
     if settings.enable_model and model:
@@ -104,27 +97,65 @@ def detect(
     return found
 
 
+def _previous(values: Column, first: Column) -> Column:
+    return F.concat(F.array(first), F.slice(values, 1, F.size(values) - 1))
+
+
+def _numbers(keyed: Column) -> Column:
+    """Of structs (type, value), the number of each value within its type by first place, by sorting alone."""
+
+    def firsts(rows: Column) -> Column:  # sorted by type, value, place: the first place of each value
+        head = F.zip_with(rows, _previous(rows, F.lit(None)), lambda x, y: y.isNull() | (x["type"] != y["type"]) | (x["value"] != y["value"]))
+        at = running_max(F.transform(head, lambda yes, i: F.when(yes, i).otherwise(0)))
+        return F.array_sort(F.zip_with(rows, at, lambda x, k: F.struct(x["type"].alias("type"), F.get(rows, k)["i"].alias("first"), x["i"].alias("i"))))
+
+    def counted(rows: Column) -> Column:  # sorted by type, first place, place
+        before = _previous(rows, F.lit(None))
+        new = running_sum(F.zip_with(rows, before, lambda x, y: (y.isNull() | ~x.getField("first").eqNullSafe(y["first"])).cast("int")))
+        opens = F.zip_with(rows, before, lambda x, y: y.isNull() | (x["type"] != y["type"]))
+
+        def within(n: Column) -> Column:
+            start = running_max(F.zip_with(opens, n, lambda yes, k: F.when(yes, k - 1).otherwise(0)))
+            return F.transform(F.array_sort(F.transform(F.arrays_zip(rows.alias("x"), n.alias("n"), start.alias("b")), lambda z: F.struct(z["x"]["i"].alias("i"), (z["n"] - z["b"]).alias("n")))), lambda z: z["n"])
+
+        return let(new, within)
+
+    placed = F.array_sort(F.transform(keyed, lambda k, i: F.struct(k["type"].alias("type"), k["value"].alias("value"), i.alias("i"))))
+    return let(placed, lambda rows: let(firsts(rows), counted))
+
+
 def placeholders(spans: Column) -> Column:
     """Spans, sorted by place, with ``placeholder``: [TYPE_n], n counting distinct values of the type by first place."""
     keyed = F.transform(spans, lambda s: F.struct(s["entity_type"].alias("type"), fold(s["text"]).alias("value")))
-    distinct = F.array_distinct(keyed)
-
-    def number(s: Column) -> Column:
-        mine = F.filter(distinct, lambda k: k["type"] == s["entity_type"])
-        return F.array_position(F.transform(mine, lambda k: k["value"]), fold(s["text"]))
-
-    return F.transform(spans, lambda s: s.withField("placeholder", F.concat(F.lit("["), s["entity_type"], F.lit("_"), number(s).cast("string"), F.lit("]"))))
+    numbers = F.when(F.size(spans) > 0, _numbers(keyed)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.zip_with(spans, numbers, lambda s, n: s.withField("placeholder", F.concat(F.lit("["), s["entity_type"], F.lit("_"), n.cast("string"), F.lit("]"))))
 
 
 def redacted(text: Column, placed: Column, public: tuple[str, ...]) -> Column:
-    """The text with every span of a non-public type replaced by its placeholder."""
+    """The text with every span of a non-public type replaced by its placeholder.
+
+    Spans are worked off in pieces, each inside its own part of the text, since taking a part out of a text costs
+    its distance from the text's beginning.
+    """
     hidden = F.filter(placed, lambda s: ~s["entity_type"].isin(*public)) if public else placed
-    done = F.aggregate(
-        hidden,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out")),
-    )
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
+
+    def told(piece: Column, base: Column, part: Column) -> Column:
+        done = F.aggregate(
+            piece,
+            F.struct(base.alias("at"), F.lit("").alias("out")),
+            lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out")),
+        )
+        return done["out"]
+
+    def whole(spans: Column) -> Column:
+        def one(piece: Column, k: Column) -> Column:
+            base = F.when(k == 0, F.lit(0)).otherwise(F.get(spans, k * PIECE - 1)["end"])
+            return let(base, lambda b: let(F.substring(text, b + 1, F.element_at(piece, -1)["end"] - b), lambda part: told(piece, b, part)))
+
+        last = F.element_at(spans, -1)["end"]
+        return F.concat(F.array_join(F.transform(pieces(spans), one), ""), F.substring(text, last + 1, F.char_length(text)))
+
+    return let(hidden, lambda spans: F.when(F.size(spans) > 0, whole(spans)).otherwise(text))
 
 
 def found(spans: Column, public: tuple[str, ...]) -> Column:
@@ -132,12 +163,17 @@ def found(spans: Column, public: tuple[str, ...]) -> Column:
     return F.size(F.filter(spans, lambda s: ~s["entity_type"].isin(*public)) if public else spans)
 
 
+@lru_cache(maxsize=32)
+def _finish(text_col: str, public: tuple[str, ...]) -> tuple[Column, Column, Column]:
+    """Placed spans, their number and the redacted text; kept, since building them takes many calls."""
+    t, spans = F.coalesce(F.col(text_col), F.lit("")), F.col("spans")
+    return placeholders(spans), found(spans, public).cast("int"), F.when(F.col("found") == 0, t).otherwise(redacted(t, spans, public))
+
+
 def redact(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), rules: tuple[Rule, ...] = RULES, model: Model | None = None) -> DataFrame:
     """Adds spans (with placeholders), found and redacted; the text stays as it is where nothing is found."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    out = detect(df, text_col, "spans", settings, rules, model).withColumn("spans", placeholders(F.col("spans")))
-    n = found(F.col("spans"), settings.public_types).cast("int")
-    return out.withColumn("found", n).withColumn("redacted", F.when(F.col("found") == 0, t).otherwise(redacted(t, F.col("spans"), settings.public_types)))
+    placed, n, out = _finish(text_col, tuple(settings.public_types))
+    return detect(df, text_col, "spans", settings, rules, model).withColumn("spans", placed).withColumn("found", n).withColumn("redacted", out)
 
 
 def exploded(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:

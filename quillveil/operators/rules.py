@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..functions import validators as v
 
@@ -190,7 +191,17 @@ def gate_of(rule: Rule, text: Column, lower: Column, digit: Column) -> Column |
 
 
 def literal_rule(keyword: str) -> Rule:
-    """A whole-word, any-case rule for a user's keyword."""
-    return Rule("CUSTOM", rf"(?<!\w)\Q{keyword.replace(chr(92) + 'E', chr(92) + 'E' + chr(92) * 2 + 'E' + chr(92) + 'Q')}\E(?!\w)", any_case=True)
+    """A whole-word, any-case rule for a user's keyword.
 
+    The literal comes first, so that the engine looks at word borders only where it stands; folding is character by
+    character, so what is before it lies its length behind. Plain keywords are gated: besides k and the Kelvin sign,
+    which lower-casing joins, only long s and dotless i fold onto ASCII letters (``folded`` undoes them).
+    """
+    literal = keyword.replace(chr(92) + "E", chr(92) + "E" + chr(92) * 2 + "E" + chr(92) + "Q")
+    gate = (keyword.lower(),) if keyword.isascii() else ()
+    return Rule("CUSTOM", rf"\Q{literal}\E(?<!\w[\s\S]{{{len(keyword)}}})(?!\w)", any_case=True, gate=gate)
 
+
+def folded(lower: Column) -> Column:
+    """Lower-cased text with the characters that any-case matching takes for s and i."""
+    return F.translate(lower, "ſı", "si")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_max, running_sum
 from ..schema import SPAN
 from .rules import Rule, gate_of
 
@@ -22,19 +23,19 @@ def matches(text: Column, rule: Column, source: str = "regex") -> Column:
     """All matches of a rule record, in text order.
 
     Offsets are running sums of the lengths of what lies between and inside matches, which counts
-    code points; index functions of the engine count UTF-16 units. There is one more gap than there
-    are matches, and its match is null.
+    code points; index functions of the engine count UTF-16 units.
     """
-    items = F.arrays_zip(
-        F.split(text, rule["pattern"], -1).alias("gap"),
-        F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, rule["pattern"], rule["group"]).alias("value"),
-    )
-
-    def span(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.char_length(x["gap"]) + F.char_length(x["whole"])
-        stop = end - F.when(rule["quoted"] & x["whole"].rlike("[\"']$"), 1).otherwise(0)
-        found = F.struct(
+    whole = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+
+    def spans(whole: Column) -> Column:
+        value = F.when(rule["group"] == 0, whole).otherwise(F.regexp_extract_all(text, rule["pattern"], rule["group"]))
+        gap = F.transform(F.slice(F.split(text, rule["pattern"], -1), 1, F.size(whole)), lambda g: F.char_length(g))
+        ends = running_sum(F.zip_with(gap, whole, lambda g, w: g + F.char_length(w)))
+        return F.transform(F.arrays_zip(whole.alias("whole"), value.alias("value"), ends.alias("end")), span)
+
+    def span(x: Column) -> Column:
+        stop = x["end"] - F.when(rule["quoted"] & x["whole"].rlike("[\"']$"), 1).otherwise(0)
+        return F.struct(
             (stop - F.char_length(x["value"])).alias("start"),
             stop.alias("end"),
             rule["entity_type"].alias("entity_type"),
@@ -43,9 +44,9 @@ def matches(text: Column, rule: Column, source: str = "regex") -> Column:
             F.lit(source).alias("source"),
             rule["rank"].alias("rank"),
         )
-        return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
 
-    return F.aggregate(items, F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out")), span, lambda acc: acc["out"])
+    # most rules that pass their gate match nothing: those need no second pass
+    return let(whole, lambda w: F.when(F.size(w) > 0, spans(w)).otherwise(F.expr(EMPTY)))
 
 
 def accepted(text: Column, found: Column, rules: Sequence[Rule]) -> Column:
@@ -85,11 +86,6 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _disjoint(placed: Column) -> Column:
     pairs = F.zip_with(F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))), F.slice(placed, 2, F.size(placed)), lambda a, b: a["end"] <= b["start"])
     return F.forall(pairs, lambda ok: ok)
@@ -98,14 +94,26 @@ def _disjoint(placed: Column) -> Column:
 def _accept(ordered: Column) -> Column:
     """Take spans in order, each unless it meets one already taken; then sort by place.
 
-    Spans that are disjoint to begin with, however many, need only the sort.
+    Spans that are disjoint to begin with, however many, need only the sort. Others fall into clusters of spans
+    that hang together, and only inside a cluster can one span keep another out.
     """
 
-    def fold(spans: Column) -> Column:
-        taken = F.aggregate(spans, F.expr(EMPTY), lambda acc, c: F.when(F.exists(acc, lambda a: overlap(a, c)), acc).otherwise(F.concat(acc, F.array(c))))
-        return F.array_sort(taken)
+    def fold(cluster: Column) -> Column:
+        mine = F.transform(F.array_sort(F.transform(cluster, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+        return F.array_sort(F.aggregate(mine, F.expr(EMPTY), lambda acc, c: F.when(F.exists(acc, lambda a: overlap(a, c)), acc).otherwise(F.concat(acc, F.array(c)))))
+
+    def clusters(placed: Column) -> Column:
+        reach = running_max(F.transform(placed, lambda x: x["s"]["end"]))
+        # an empty span meets those that it lies strictly inside, so touching is no meeting
+        first = F.zip_with(placed, F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(placed) - 1)), lambda x, before: x["start"] >= before)
+        at = F.filter(F.transform(first, lambda yes, i: F.when(yes, i + 1)), lambda x: x.isNotNull())
+        return let(at, lambda cuts: F.transform(cuts, lambda a, k: F.slice(placed, a, F.coalesce(F.get(cuts, k + 1), F.size(placed) + 1) - a)))
+
+    def resolved(spans: Column) -> Column:
+        keyed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s"))))
+        return let(keyed, lambda placed: F.flatten(F.transform(clusters(placed), fold)))
 
-    return let(ordered, lambda spans: let(F.array_sort(spans), lambda placed: F.when(_disjoint(placed), placed).otherwise(fold(spans))))
+    return let(ordered, lambda spans: let(F.array_sort(spans), lambda placed: F.when(_disjoint(placed), placed).otherwise(resolved(spans))))
 
 
 def _by(spans: Column, *keys) -> Column:

@@ -164,11 +164,12 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("mail a@b.com or c@d.org, see https://x.example/")
     out = str(tmp_path / "out")
-    assert run(spark, parser().parse_args(["redact", str(tmp_path / "in"), "--out", out])) == ["EMAIL\t2"]
+    (tmp_path / "in" / "b.lock").write_text("a@b.com")
+    assert list(run(spark, parser().parse_args(["redact", str(tmp_path / "in"), "--out", out]))) == ["EMAIL\t2", "skipped\tskip_globs\t1"]
     row = spark.read.parquet(f"{out}/redacted").first()
     assert row.redacted == "mail [EMAIL_1] or [EMAIL_2], see https://x.example/" and row.name.endswith(".redacted.txt")
-    told = run(spark, parser().parse_args(["scan", str(tmp_path / "in"), "--json"]))
-    assert len(told) == 1 and "a@b.com" not in told[0]
+    told = list(run(spark, parser().parse_args(["scan", str(tmp_path / "in"), "--json"])))
+    assert len(told) == 2 and "a@b.com" not in told[0]
 
 
 def test_page_files_are_optional():
