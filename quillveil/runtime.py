@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillveil-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -53,9 +56,16 @@ def _quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes in a batch on its way to Python. Rows are of any length, so a bound on their number bounds no memory.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run."""
+    """Make this package importable in Python workers, wherever they run, and bound their batches by bytes."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     if getattr(sc, "_quillveil_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -70,6 +80,35 @@ def ship(spark: SparkSession) -> None:
     sc._quillveil_shipped = True
 
 
+def lean(run):
+    """A partition function whose Python worker gives its free memory back to the system at the task's end.
+
+    Workers outlive their tasks; what allocators hold on to would add up over a job's operators.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that is not among ``taken`` (compared without case)."""
     low = {c.lower() for c in taken}
