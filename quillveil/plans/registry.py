@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import boxes, decode, evaluate, policy
@@ -358,12 +358,77 @@ WITH t AS (SELECT user_id AS doc_id, event_id AS token, [{", ".join(f"'{x}'" for
 k AS (SELECT *, CASE WHEN label <> 'O' THEN label[3:] END AS kind FROM t),
 b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY token) AS before FROM k),
 r AS (SELECT *, sum(CASE WHEN kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY token) AS run FROM b)
-SELECT doc_id, CAST(run AS BIGINT) AS run, kind AS entity_type, min(token) AS first, max(token) AS last FROM r WHERE kind IS NOT NULL GROUP BY doc_id, run, kind"""
+SELECT doc_id, CAST(run AS BIGINT) AS run, kind AS entity_type, min(token) AS first, max(token) AS last, avg((token % 64) / 64) AS confidence
+FROM r WHERE kind IS NOT NULL GROUP BY doc_id, run, kind"""
 )
 def bio_runs(spark, sf_dir):
     labels = F.array(*map(F.lit, _LABELS))
-    tokens = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("token"), F.get(labels, (F.col("event_id") * 31 % 5).cast("int")).alias("label"), F.col("value").alias("confidence"))
-    return decode.run_table(tokens).drop("confidence")
+    tokens = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("token"), F.get(labels, (F.col("event_id") * 31 % 5).cast("int")).alias("label"), (F.col("event_id") % 64 / 64).alias("confidence"))
+    return decode.run_table(tokens).drop("n")
+
+
+#: Words of the benchmark's texts as tokens. Labels and confidences (eighths, exact in any order of sums) follow from a word's length.
+_TOKENS = f"""
+w AS (SELECT item_id AS doc_id, text, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS token FROM benchmark),
+t AS (SELECT doc_id, token, CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY token) - 1 - length(word) AS INT) AS s,
+  CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY token) - 1 - length(word) // 3 AS INT) AS e,
+  [{", ".join(f"'{x}'" for x in _LABELS)}][CAST(length(word) % 5 AS INT) + 1] AS label, CASE WHEN length(word) % 2 = 0 THEN 'CITY' ELSE 'SURNAME' END AS second, (length(word) % 7 + 1) / 8 AS conf FROM w),
+k AS (SELECT *, CASE WHEN label <> 'O' THEN label[3:] END AS kind FROM t),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY token) AS before FROM k),
+r AS (SELECT *, sum(CASE WHEN kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY token) AS run FROM b),
+runs AS (SELECT doc_id, run, kind, min(token) AS first, max(token) AS last FROM r WHERE kind IS NOT NULL GROUP BY doc_id, run, kind),
+l AS (SELECT x.*, CASE WHEN lag(kind) OVER o = kind AND first - lag(last) OVER o = 2 AND g.second = kind THEN 0 ELSE 1 END AS new
+  FROM runs x LEFT JOIN t g ON g.doc_id = x.doc_id AND g.token = x.first - 1 WINDOW o AS (PARTITION BY x.doc_id ORDER BY first)),
+m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first) AS g FROM l),
+bridged AS (SELECT q.doc_id, q.kind, q.first, q.last, min(s) AS s, max(e) AS e, avg(conf) AS conf FROM (SELECT doc_id, g, kind, min(first) AS first, max(last) AS last FROM m GROUP BY doc_id, g, kind) q
+  JOIN t ON t.doc_id = q.doc_id AND t.token BETWEEN q.first AND q.last GROUP BY q.doc_id, q.kind, q.first, q.last)"""
+_JOINED = r"""
+j0 AS (SELECT x.*, text, CASE WHEN lag(kind) OVER o = kind AND lag(e) OVER o <= s AND regexp_full_match(substr(text, lag(e) OVER o + 1, s - lag(e) OVER o), '[ 	
+''’-]*') THEN 0 ELSE 1 END AS new
+  FROM bridged x JOIN benchmark ON item_id = doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY s, e)),
+j1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM j0),
+j2 AS (SELECT doc_id, kind, min(s) AS s, max(e) AS e, list({'s': s, 'e': e, 'c': conf} ORDER BY s) AS own FROM j1 GROUP BY doc_id, g, kind),
+joined AS (SELECT doc_id, kind, s, e, list_reduce(own, lambda a, x: {'s': a.s, 'e': x.e, 'c': a.c + (x.c - a.c) * ((x.e - x.s) / greatest(a.e - a.s + x.e - x.s, 1))}).c AS conf FROM j2)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    words = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("token", "word"))
+    n = F.char_length("word")
+    at = F.sum(n + 1).over(Window.partitionBy("doc_id").orderBy("token"))
+    kinds = F.get(F.array(*map(F.lit, _LABELS)), n % 5)
+    return texts, words.select(
+        "doc_id", "token", (at - 1 - n).cast("int").alias("start"), (at - 1 - F.floor(n / 3)).cast("int").alias("end"),
+        kinds.alias("label"), F.when(n % 2 == 0, "CITY").otherwise("SURNAME").alias("second"), ((n % 7 + 1) / 8).alias("confidence"),
+    )
+
+
+def _bridged(tokens: DataFrame) -> DataFrame:
+    return decode.bridge_table(decode.run_table(tokens), tokens)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, kind AS entity_type, CAST(first AS INT) AS first, CAST(last AS INT) AS last, conf AS confidence FROM bridged")
+def bridged_runs(spark, sf_dir):
+    return _bridged(_tokens(spark, sf_dir)[1]).select("doc_id", "entity_type", "first", "last", "confidence")
+
+
+@query(f"""WITH {_TOKENS}, {_JOINED} SELECT doc_id, kind AS entity_type, s AS "start", e AS "end", round(conf, 9) AS confidence FROM joined""")
+def joined_neighbours(spark, sf_dir):
+    texts, tokens = _tokens(spark, sf_dir)
+    return decode.neighbour_table(_bridged(tokens), texts).select("doc_id", "entity_type", "start", "end", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    rf"""
+WITH {_TOKENS}, {_JOINED}
+SELECT doc_id, kind AS entity_type,
+  CAST(CASE WHEN s > 0 AND regexp_matches(substr(text, s, 2), '^[\pL\pM\pN_]{{2}}$') THEN s - length(regexp_extract(substr(text, 1, s), '[\pL\pM\pN_]*$')) ELSE s END AS INT) AS "start",
+  CAST(CASE WHEN regexp_matches(substr(text, e, 2), '^[\pL\pM\pN_]{{2}}$') THEN e + length(regexp_extract(substr(text, e + 1), '^[\pL\pM\pN_]*')) ELSE e END AS INT) AS "end"
+FROM joined JOIN benchmark ON item_id = doc_id"""
+)
+def whole_word_spans(spark, sf_dir):
+    texts, tokens = _tokens(spark, sf_dir)
+    return decode.word_table(decode.neighbour_table(_bridged(tokens), texts), texts).select("doc_id", "entity_type", "start", "end")
 
 
 _SKIP = Settings(skip_globs=("*/a*", "*.html"), allow_globs=("*b*",), deny_globs=("*page/1*",), max_file_bytes=4000)

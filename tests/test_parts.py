@@ -172,7 +172,70 @@ def test_command_line(spark, tmp_path):
     assert len(told) == 2 and "a@b.com" not in told[0]
 
 
-def test_page_files_are_optional():
+def test_page_files_need_their_library(spark):
+    """Without the page library every file is answered with an error, and nothing of it is given out."""
     from quillveil.sources import pdf
 
-    assert pdf.available() in (True, False)
+    if pdf.available():
+        pytest.skip("the library is installed")
+    rows = spark.createDataFrame([("/a.pdf", bytearray(b"%PDF-1.7 x"))], "path string, content binary")
+    boxes_ = spark.createDataFrame([("/a.pdf", 0, 0.0, 0.0, 1.0, 1.0)], "path string, page int, x0 double, y0 double, x1 double, y1 double")
+    got = pdf.redact_pdf(rows, boxes_).first()
+    assert got.redacted is None and got.error.startswith("ModuleNotFoundError")
+    assert pdf.extract_pdf(rows).first().error.startswith("ModuleNotFoundError")
+
+
+def test_word_runs_against_character_steps():
+    text = "ab cd_e-f'g é9 _"
+    runs = decode.WordRuns(text)
+    word = [c.isalnum() or c == "_" for c in text]
+    for a in range(len(text) + 1):
+        lo = hi = a
+        while 0 < lo < len(text) and word[lo - 1] and word[lo]:
+            lo -= 1
+        while 0 < hi < len(text) and word[hi - 1] and word[hi]:
+            hi += 1
+        assert runs.widen(a, a) == (lo, hi)
+    assert decode.WordRuns("").widen(0, 0) == (0, 0)
+
+
+def test_many_matches_in_one_text_end_in_seconds(spark):
+    import time
+
+    n = 100_000
+    df = spark.createDataFrame([(" ".join(f"mail a{i % 50_000}@b.com;" for i in range(n)),)], "text string")
+    began = time.time()
+    row = redact(df).select("found", F.right("redacted", F.lit(15)).alias("end")).first()
+    assert (row.found, row.end) == (n, "[EMAIL_50000];"[-15:] if len("[EMAIL_50000];") > 15 else " [EMAIL_50000];")
+    assert time.time() - began < 120
+
+
+def test_clusters_of_overlaps_resolve_as_one_fold_does(spark):
+    import random
+
+    from quillveil.operators.spans import resolve
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        spans = [(a, a + rng.randint(1, 9), "X", "v", 1.0, "regex", rng.randrange(4)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 25)))]
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "id int, spans array<struct<start:int,end:int,entity_type:string,text:string,confidence:double,source:string,rank:int>>")
+    got = {r.id: [(s.start, s.end, s["rank"]) for s in r.out] for r in df.select("id", resolve(F.col("spans")).alias("out")).collect()}
+    for i, spans in rows:
+        taken = []
+        for s in sorted(spans, key=lambda s: (s[0] - s[1], s[6])):
+            if not any(s[0] < t[1] and t[0] < s[1] for t in taken):
+                taken.append(s)
+        assert got[i] == sorted((s[0], s[1], s[6]) for s in taken)
+
+
+@pytest.mark.parametrize("keyword", ["the", "KISS", "Straße", "a.b", "ΟΔΟΣ"])
+def test_keywords_as_python_finds_them(spark, keyword):
+    import re
+
+    text = f"xthe the The, {keyword} _{keyword} {keyword.lower()}s {keyword.upper()}! \u212aiss ki\u017fs KISS axb a.b οδος"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = redact(df, settings=Settings(enable_rules=False, custom_keywords=(keyword,))).first()
+    want = [m.span() for m in re.finditer(rf"(?i)(?<!\w){re.escape(keyword)}(?!\w)", text)]
+    assert [(s.start, s.end) for s in got.spans] == want
