@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import lean, materialize, ship
 
 LIST, MAX_LISTS, SAMPLE, BLOCK = 128, 4096, 32_768, 4096
 REPLICATE, COPIES, SHADOW = 0.1, 4, 0.6
@@ -204,7 +204,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[x:y].astype("<f8").tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())], names=["vec_id", "v"])
 
     rows = materialize(
-        sound.mapInArrow(packed, "vec_id long, v binary").select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"), F.monotonically_increasing_id().alias("uid")),
+        sound.mapInArrow(lean(packed), "vec_id long, v binary").select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"), F.monotonically_increasing_id().alias("uid")),
         "ann-rows",
     )
     lengths = {r.n: r.c for r in rows.groupBy(F.length("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()}
@@ -234,7 +234,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), *(b.column(c).take(pa.array(at)) for c in ("node", "v"))], names=["list", "node", "v"])
 
-    postings = materialize(nodes.select("node", "v", "ids").mapInArrow(posted, "list int, first boolean, node long, v binary, ids array<long>"), "ann-postings")
+    postings = materialize(nodes.select("node", "v", "ids").mapInArrow(lean(posted), "list int, first boolean, node long, v binary, ids array<long>"), "ann-postings")
     counts = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("f")).collect()  # MAX_LISTS rows at most
     sizes = {r["list"]: r.n for r in counts}
     first = np.zeros(len(graph.c), dtype=np.int64)
@@ -244,7 +244,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2", "uid").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     asking = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v").repartition("node")
     right = postings.join(F.broadcast(mine), "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = asking.mapInArrow(probed, "list int, node long, v binary").join(F.broadcast(theirs), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = asking.mapInArrow(lean(probed), "list int, node long, v binary").join(F.broadcast(theirs), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def block(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []

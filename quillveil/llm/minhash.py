@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import discard, fresh, materialize, ship
+from ..runtime import discard, fresh, lean, materialize, ship
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -39,8 +39,9 @@ M = BANDS * ROWS
 #: A pair whose signatures agree in less than this share is not verified: at similarity 0.8 and 160
 #: registers this happens with probability below 1e-8.
 LIKELY = 0.6
-BLOCK = 1 << 20
-MEMBERS, ITEMS = 2048, 2_000_000
+BLOCK = 1 << 18
+MEMBERS, ITEMS = 2048, 500_000
+SALTS = 64
 
 _SPLIT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -54,16 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the rolling hash's base and of its inverse; those of a part of usual length are kept."""
+    if n > 2 * BLOCK:
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b)]), dtype=np.uint64) for b in (_P, _PINV))
+    if not _POWERS:
+        _POWERS.extend(_powers(2 * BLOCK + 1))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _P)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _PINV)]), dtype=np.uint64)
-        return cls.up[:n], cls.down[:n]
+
+_POWERS: list[np.ndarray] = []
 
 
 def normalized(text: str | None) -> bytes:
@@ -99,7 +100,7 @@ def shingles(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     def flush():
         buf = np.frombuffer(b"\n" + b"\n".join(p for _, p in group) + b"\n", dtype=np.uint8)
-        up, down = _Powers.of(len(buf) + 1)
+        up, down = _powers(len(buf) + 1)
         run = np.concatenate([[np.uint64(0)], np.cumsum((buf + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
         sep = np.flatnonzero((buf == 32) | (buf == 10))
         start, end = sep[:-1] + 1, sep[1:]
@@ -231,12 +232,17 @@ def _sign(batches):
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step: each node's neighbours move to its smallest one."""
+    """One large-star or small-star step: each node's neighbours move to its smallest one.
+
+    A component's root may hold a third of all edges, so minima are taken, and brought back, by salted parts of a node.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = both.filter("u > v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = both.join(least, "u")
+    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    met = both.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"])
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -271,7 +277,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(check, "u long, v long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(lean(check), "u long, v long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -286,7 +292,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-    return near.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return near.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
 def _groups(batches, *keys: str) -> Iterator[pa.Table]:
@@ -339,24 +345,17 @@ def _links_inside(batches):
     """Of each block, exact links that join its components: at most one fewer than it has nodes."""
     for rows in _groups(batches, "key", "i", "j"):
         node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("items").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("items")]  # views, no copies
         size = np.array([len(x) for x in sets])
-        item, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         _, group = np.unique(comp, return_inverse=True)
-        mark, out = np.zeros(len(item), dtype=np.int32), []
+        out = []
         for x in range(len(sets)):
-            if (group == group[x]).all():
-                continue
-            mine = flat[starts[x] : starts[x] + size[x]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[flat], starts)
-            mark[mine] = 0
-            near = np.flatnonzero((both >= SIMILAR * (size + size[x] - both) - 1e-9) & (group != group[x]))
-            for y in near:
-                if group[y] != group[x] and both[y] / (size[x] + size[y] - both[y]) >= SIMILAR:
-                    out.append((node[x], node[y]))
-                    group[group == group[y]] = group[x]
+            # later nodes only: each pair is looked at once
+            y = np.flatnonzero((group != group[x]) & (np.arange(len(sets)) > x) & (size >= SIMILAR * size[x] - 1e-9) & (size <= size[x] / SIMILAR + 1e-9))
+            for k in y.tolist():
+                if group[k] != group[x] and similarity(sets[x], sets[k]) >= SIMILAR:
+                    out.append((node[x], node[k]))
+                    group[group == group[k]] = group[x]
         if out:
             got = np.array(out, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["u", "v"])
@@ -379,9 +378,9 @@ def _late_links(multi: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataF
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"), "node", "comp", "n", "sig", "bands")
     )
-    found = inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open_members, "key long, i int, j int, node long, comp long")
+    found = inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_open_members), "key long, i int, j int, node long, comp long")
     full = found.join(sets, "node")
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links_inside, "u long, v long")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_links_inside), "u long, v long")
 
 
 def _stars(multi: DataFrame) -> DataFrame:
@@ -394,7 +393,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """The signed rows, and per distinct words: w1, w2, stays (the row that stays), class_size."""
     ship(docs.sparkSession)
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), *_content(docs[text_col]), docs[text_col].alias("text"))
-    base = materialize(text.mapInArrow(_sign, _BASE), "near-base")
+    base = materialize(text.mapInArrow(lean(_sign), _BASE), "near-base")
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "x1", "x2", "bands", "sig", "n")
     nodes = materialize(
         base.filter("n > 0")
@@ -424,7 +423,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                 )
 
     # rows repeated with the same id and text would come twice
-    sets = materialize(whole.mapInArrow(items, "node long, items binary").dropDuplicates(["node"]), "near-sets")
+    sets = materialize(whole.mapInArrow(lean(items), "node long, items binary").dropDuplicates(["node"]), "near-sets")
     links = materialize(_verified(stars, sets), "near-links")
     comp = components(links)
     more = materialize(_late_links(multi, nodes, comp, sets), "near-more")
