@@ -10,9 +10,11 @@ that could hold the ids and rises whenever a window exceeds the capacity.
 Null text is empty and packs its end id alone. Repeated rows are packed each; ties are broken by id
 and start. An empty table gives an empty result. Only the id and the text are read.
 
-Tokenizing works by blocks of a text and remembers what a run of non-space characters encodes to,
-in a memory of bounded size; runs of plain Latin letters are encoded in bulk by a rank-based merger
-over the same vocabulary, all others by the tokenizer itself.
+Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with the tokenizer file as it is; strings of its
+added tokens in a text give those tokens. No piece of the tokenizer's splitting crosses white space, so texts are cut
+there, and each distinct run of other characters in a batch is encoded once; short runs stay in a memory of bounded
+size. Runs of plain Latin characters are encoded in bulk by a rank-based merger over the same vocabulary, all others, and
+those with an added token, by the tokenizer itself. Texts beyond ``BLOCK`` characters are worked off in blocks that end at white space.
 """
 
 from __future__ import annotations
@@ -29,13 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import lean, materialize, ship, trim
 
 WINDOW, END_ID = 4096, 2
-BLOCK, MEMORY = 1 << 19, 300_000
-# Latin characters that lower-casing and composition leave one to one (U+0130 is left out).
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
+BLOCK, MEMORY, LONGEST = 1 << 18, 300_000, 48
+
+
+def _plain(c: str) -> bool:
+    """Lower-casing and composition leave the character one to one, inside the letters that ``_PIECES`` knows."""
+    return "!" <= c <= "~" or ("À" <= c <= "ɏ" and c not in "×÷" and len(c.lower()) == 1 and "ß" <= c.lower() <= "ɏ")
+
+
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if _plain(chr(c))) + "]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ɏ]+|[0-9]|[^a-z0-9ß-ɏ]+")
+# Characters at which str.split cuts and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -47,16 +56,17 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of texts, as the tokenizer file at ``path`` gives them (special strings are ordinary text)."""
+    """Token ids of texts, as the tokenizer file at ``path`` gives them."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            told = json.load(f)
+        model = told["model"]
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in told["added_tokens"]) or r"(?!)")
         end, of = "</w>", _bytes_of_symbols()
         # byte 1 stands for the word's end: it comes after every word and never inside a plain one
         as_bytes = lambda s: bytes(of[c] for c in s.removesuffix(end)) + b"\x01" * s.endswith(end)
@@ -72,32 +82,38 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _learn(self, runs: set[str]) -> None:
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         cut: dict[str, list[str]] = {}
         for run in runs:
-            if _PLAIN.fullmatch(run):
+            if _PLAIN.fullmatch(run) and not self.added.search(run):
                 cut[run] = _PIECES.findall(run.lower())
             else:
-                self.known[run] = np.array(self.exact.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        if words:
-            got = np.array(self.bulk.encode_ordinary("\x01 ".join(words) + "\x01"), dtype=np.int64)
+                out[run] = np.array(self.exact.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = {w for ws in cut.values() for w in ws}
+        new = list(words.difference(self.words))
+        once: dict[str, bytes] = {}
+        if new:
+            got = np.array(self.bulk.encode_ordinary("\x01 ".join(new) + "\x01"), dtype=np.int64)
             ids, stops = self.ids[got], np.flatnonzero(self.ends[got]) + 1
             start = 0
-            for w, stop in zip(words, stops.tolist(), strict=True):
-                self.words[w] = ids[start:stop].tobytes()
+            for w, stop in zip(new, stops.tolist(), strict=True):
+                (self.words if len(w) <= LONGEST else once)[w] = ids[start:stop].tobytes()
                 start = stop
         for run, ws in cut.items():
-            self.known[run] = b"".join([self.words[w] for w in ws])
+            out[run] = b"".join([self.words[w] if len(w) <= LONGEST else once[w] for w in ws])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         if len(self.known) > MEMORY or len(self.words) > MEMORY:
             self.known, self.words = {}, {}
+            trim()
         runs = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if new := {r for rs in runs if rs for r in rs} - self.known.keys():
-            self._learn(new)
-        known = self.known
+        known, learned = self.known, self._learn({r for rs in runs if rs for r in rs}.difference(self.known))
+        known.update({r: x for r, x in learned.items() if len(r) <= LONGEST})
+        if any(len(r) > LONGEST for r in learned):  # long runs are not remembered
+            known = {**known, **learned}
         return [
             np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if rs is None else b"".join([known[r] for r in rs])
             for t, rs in zip(texts, runs, strict=True)
@@ -113,14 +129,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+_SPACE = re.compile(r"[ \n\t\r]")
+
+
 def _blocks(text: str) -> Iterator[str]:
-    """A long text in parts that end at a space."""
+    """A long text in parts of about BLOCK characters that end before white space; a run longer than that stays whole."""
     at = 0
     while at < len(text):
-        end = at + BLOCK
-        if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut if cut > at else len(text)
+        cut = _SPACE.search(text, at + BLOCK)
+        end = cut.start() if cut else len(text)
         yield text[at:end]
         at = end
 
@@ -181,14 +198,14 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, window:
                 ids.append(i)
                 texts.append(t or "")
                 size += len(t or "")
-                if size > BLOCK:
+                if size > 4 * BLOCK:
                     got += rows(ids, texts)
                     ids, texts, size = [], [], 0
             got += rows(ids, texts) if ids else []
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
