@@ -3,8 +3,8 @@
 Per source, words are laid end to end (rows in a hashed order) and cut into fixed-length blocks.
 Sources by code point, null last, weigh 3, 1, 2, repeating; together they want 150 % of all words;
 a target stops at twice its source's size and the excess goes to the others by weight.
-Each output shard draws its source counts; the draw is multinomial given each source's total
-(a multivariate hypergeometric draw), so that totals meet the targets. A source's j-th slot maps
+Each output shard draws its source counts by a multinomial over what the sources have left; a count above what is left
+is cut and the rest drawn again, so that totals meet the targets, by the same law at every size. A source's j-th slot maps
 through that source's pseudorandom permutation of block indices, one permutation per epoch, and
 blocks are joined by index. The last slot of a source takes only the words still missing.
 
@@ -12,13 +12,15 @@ A word is a run of characters other than space and \\t-\\r; null text has none.
 take 0. Repeated ids are separate rows; null ids and null sources are values like others. An empty
 table gives an empty result. All draws are seeded by position, so reruns agree.
 
-A source may hold any share of the rows: its rows are laid out in hashed buckets, and only bucket
-totals are put in sequence. The driver sees one row per source and bucket, and per source and shard,
-whose numbers are bounded by parameters.
+A source may hold any share of the rows: its rows are laid out in hashed buckets, as many as a bucket has
+rows (the root of their number), and only bucket totals are put in sequence, in a table of their own. The driver holds one row per source,
+and per source and output shard; there are at most ``max_shards`` shards, fewer where sources are many, and the slots of a
+shard are generated in chunks of bounded length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,10 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import lean, materialize, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
+#: Slots that one row of a shard becomes at once.
+CHUNK = 4096
 
 
 def allot(sizes: list[int], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
@@ -105,24 +109,23 @@ def _draws(slots: list[int], max_shards: int, least: int = 256) -> list[tuple[in
     per = max(least, -(-total // max_shards))
     rng, first, out = np.random.default_rng(20), np.zeros(len(slots), dtype=np.int64), []
     for shard in range(-(-total // per)):
-        n = min(per, int(left.sum()))
-        got = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else _large_draw(rng, left, n)
+        got = _draw(rng, left, min(per, int(left.sum())))
         for s in np.flatnonzero(got):
             out.append((shard, int(s), int(first[s]), int(got[s])))
         first, left = first + got, left - got
     return out
 
 
-def _large_draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Beyond 10**9 slots: a multinomial draw, held inside what each source has left."""
-    got = np.minimum(rng.multinomial(n, left / left.sum()), left)
-    while (lack := n - got.sum()) > 0:
+def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """n slots by a multinomial over what is left of each source, held inside it."""
+    got = np.zeros(len(left), dtype=np.int64)
+    while (lack := n - int(got.sum())) > 0:
         room = left - got
         got += np.minimum(rng.multinomial(lack, room / room.sum()), room)
     return got
 
 
-def _layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, salts: int, carry: list[str]):
+def _layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str]):
     """Stored rows (uid and carried columns); uid, doc_id, source, s, size, start of each; the sources' sizes."""
     stored = materialize(
         docs.select(
@@ -135,35 +138,39 @@ def _layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, salts:
         ),
         "mix-rows",
     )
-    own = stored.select("uid", "doc_id", "source", "size", "place", F.pmod("place", F.lit(salts)).cast("int").alias("salt"))
-    totals = own.groupBy("source", "salt").agg(F.sum("size").alias("size")).collect()  # sources x salts
-    names = sorted({x.source for x in totals if x.source is not None}) + [None] * any(x.source is None for x in totals)
-    index = {n: i for i, n in enumerate(names)}
-    sizes, starts = [0] * len(names), []
-    for x in sorted(totals, key=lambda x: (index[x.source], x.salt)):
-        s = index[x.source]
-        starts.append((x.source, x.salt, s, sizes[s]))
-        sizes[s] += x["size"]
-    table = docs.sparkSession.createDataFrame(starts, "source_ string, salt_ int, s int, bucket_start long")
-    order = Window.partitionBy("source", "salt").orderBy("place", "doc_id", "size", "uid")
+    per_source = stored.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row a source
+    per_source.sort(key=lambda x: (x.source is None, x.source or ""))
+    names = [(i, x.source, math.isqrt(x.n) + 1) for i, x in enumerate(per_source)]
+    table = docs.sparkSession.createDataFrame(names, "s int, source_ string, buckets long")
+    own = stored.select("uid", "doc_id", "source", "size", "place").join(_small(table, len(names)), F.col("source").eqNullSafe(F.col("source_")))
+    own = own.withColumn("salt", F.pmod("place", F.col("buckets"))).drop("source_", "buckets")
+    ahead = Window.partitionBy("s").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = own.groupBy("s", "salt").agg(F.sum("size").alias("total")).select("s", "salt", (F.sum("total").over(ahead) - F.col("total")).alias("bucket_start"))
+    order = Window.partitionBy("s", "salt").orderBy("place", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        own.withColumn("ahead", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_")))  # sources x salts rows
+        own.withColumn("ahead", F.sum("size").over(order) - F.col("size"))
+        .join(starts, ["s", "salt"])
         .select("uid", "doc_id", "source", "s", "size", (F.col("bucket_start") + F.col("ahead")).alias("start"))
     )
-    return stored, materialize(rows, "mix-layout"), sizes
+    return stored, materialize(rows, "mix-layout"), [x["size"] for x in per_source]
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row a source, broadcast where it is small; sources are few in practice, but not by nature."""
+    return F.broadcast(table) if rows <= 100_000 else table
 
 
 def _slots(spark, plan: list[dict], max_shards: int, block: int) -> DataFrame:
     """One row per slot: shard, s, block (index), epoch, take (words)."""
     ship(spark)
-    draws = _draws([p["slots"] for p in plan], max_shards)
+    draws = _draws([p["slots"] for p in plan], max(1, min(max_shards, 4_000_000 // max(1, len(plan)))))
     per_source = spark.createDataFrame([(i, p["blocks"], p["slots"], p["last"]) for i, p in enumerate(plan)] or [(-1, 1, 0, 0)], "s int, blocks long, n_slots long, last long")
     frame = spark.createDataFrame(draws, "shard int, s int, first long, n long")
     slots = (
-        frame.repartition("shard", "s")
-        .select("shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-        .join(F.broadcast(per_source), "s")  # one row per source
+        frame.select("shard", "s", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
+        .repartition("shard", "s", "first")
+        .select("shard", "s", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK, F.col("end")) - 1)).alias("j"))
+        .join(_small(per_source, len(plan)), "s")
         .select("shard", "s", (F.col("j") % F.col("blocks")).alias("pos"), F.floor(F.col("j") / F.col("blocks")).cast("int").alias("epoch"), "blocks", F.when(F.col("j") == F.col("n_slots") - 1, F.col("last")).otherwise(F.lit(block)).cast("long").alias("take"))
     )
 
@@ -172,7 +179,7 @@ def _slots(spark, plan: list[dict], max_shards: int, block: int) -> DataFrame:
             key = (b["s"].to_numpy() * 1_000_003 + b["epoch"].to_numpy() * 7919 + 17).astype(np.int64)
             yield pd.DataFrame({"shard": b["shard"], "s": b["s"], "block": permuted(b["pos"].to_numpy(), b["blocks"].to_numpy(), key), "epoch": b["epoch"], "take": b["take"]})
 
-    return slots.mapInPandas(mapped, "shard int, s int, block long, epoch int, take long")
+    return slots.mapInPandas(lean(mapped), "shard int, s int, block long, epoch int, take long")
 
 
 def _taken(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
@@ -191,29 +198,29 @@ def _taken(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, salts: int = 256, max_shards: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, max_shards: int = 4096) -> DataFrame:
     """One row per row: doc_id, size, source, source_size, target, taken."""
     spark = docs.sparkSession
-    _, rows, sizes = _layout(docs, id_col, text_col, source_col, salts, [])
+    _, rows, sizes = _layout(docs, id_col, text_col, source_col, [])
     targets = allot(sizes, [WEIGHTS[i % 3] for i in range(len(sizes))])
     slots = _slots(spark, _plan(sizes, targets, block), max_shards, block)
     per_source = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(zip(sizes, targets, strict=True))], "s int, source_size long, target double")
     got = _taken(rows.select("uid", "s", "start", "size"), slots, block).groupBy("uid").agg(F.sum("words").alias("taken"))
     return (
         rows.join(got, "uid", "left")
-        .join(F.broadcast(per_source), "s")  # one row per source
+        .join(_small(per_source, len(sizes)), "s")
         .select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
 
-def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, salts: int = 256, max_shards: int = 4096) -> DataFrame:
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, max_shards: int = 4096) -> DataFrame:
     """The mix itself, in the columns of ``docs``: one row per row and epoch with the words taken.
 
     A row whose words are all taken keeps its text as it stands; else each run of taken words is cut
     from the text, and runs are joined by a newline.
     """
     spark = docs.sparkSession
-    stored, rows, sizes = _layout(docs, id_col, text_col, source_col, salts, docs.columns)
+    stored, rows, sizes = _layout(docs, id_col, text_col, source_col, docs.columns)
     targets = allot(sizes, [WEIGHTS[i % 3] for i in range(len(sizes))])
     slots = _slots(spark, _plan(sizes, targets, block), max_shards, block)
     got = (
