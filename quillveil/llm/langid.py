@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import lean, ship
 
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 PROBES = 3
 _TABLE: list[np.ndarray] = []
 
@@ -149,10 +149,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     grams, n = np.unique(h[of == lang], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams.view(np.int64), "n": n.astype(np.int64)})
 
-    # what the sample holds bounds these groups and the driver's share: ``top`` rows a language
-    by = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = by.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, top).alias("top"))
-    return Filter({r.lang: np.array([x.gram for x in r.top], dtype=np.int64).view(np.uint64) for r in best.collect()})
+    by = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranked = by.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("gram")))).filter(F.col("r") <= top)
+    best: dict[str, list[int]] = {lang: [] for lang in counts}
+    for r in ranked.select("lang", "gram").collect():  # ``top`` rows a language at most
+        best[r.lang].append(r.gram)
+    return Filter({lang: np.array(grams, dtype=np.int64).view(np.uint64) for lang, grams in best.items() if grams})
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -170,12 +172,17 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=OUT)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
+        lean(run), "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
 
 def keep_identified(docs: DataFrame, model: Filter, text_col: str = "text", least: float = 0.15) -> DataFrame:
-    """The rows whose text has a language: not ``und``, and a share of at least ``least`` of its n-grams."""
+    """The rows whose text has a language: not ``und``, and a share of at least ``least`` of its n-grams.
+
+    Texts of one or two letters are judged like others, by the n-grams that their letters make with the word's borders. Null text
+    and text without letters go; repeated rows stay or go together; ``und`` is all that a model without languages says, so then
+    every row goes.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -187,4 +194,4 @@ def keep_identified(docs: DataFrame, model: Filter, text_col: str = "text", leas
             yield b.filter(pa.array(ok, pa.bool_()))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
