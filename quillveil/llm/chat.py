@@ -2,13 +2,16 @@
 
 A visitor walks a turn's parts (text, image, audio, document) in order. Text is escaped; every other
 part becomes a placeholder, its reference goes to the attachment list, and its placeholder counts as
-the tokens the encoder will expand it to. A turn's content is a plain text or a JSON list of parts
-``{"type": ..., "text"/"ref": ..., ...}`` (only where ``typed=True``).
+the tokens the encoder will expand it to. A turn's content is a plain text, whose Markdown image
+references ``![alt](ref)`` are media parts (image, audio or document by the suffix), or, where ``typed=True``, a
+JSON list of parts ``{"type": ..., "text"/"ref": ..., ...}``. A plain text's media part keeps its source,
+so that the text is read back whole.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Wherever one of the control strings below begins in
-a text, a mark follows its first character, so the output holds no control string of the text's own;
-a mark that the text has itself is doubled in kind. Both are undone in one pass, so every text,
-including one full of control strings, is read back exactly.
+a text or role, a mark follows its first character, so the output holds no control string of the text's own;
+a mark that the text has itself is doubled in kind, and a newline in a role is a marked n. All are undone in one
+pass, so every text and role, including one full of control strings, is read back exactly. The loss mask covers
+an assistant's texts and the media of its plain texts, not the placeholders of typed parts, which no model says.
 
 Null text and null role count as empty; null conversation ids form a conversation. Turns that tie
 are ordered by role, then text; repeated rows are repeated turns. An empty table has no
@@ -22,12 +25,13 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import lean, ship
 
 MARK = "␛"
 # Control strings of common templates, and the placeholders.
@@ -36,7 +40,10 @@ CONTROL = (
     "<<SYS>>", "<</SYS>>", "<|image|>", "<|audio|>", "<|document|>",
 )
 _STARTS = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROL)) + "))(.)", re.S)
-_UNDO = re.compile(MARK + "([ec])")
+_UNDO = re.compile(MARK + "([ecn])|<\\|(?:image|audio|document)\\|>")
+#: A media reference in a plain text, and what its suffix makes it (else an image).
+MEDIA = r"!\[[^\]\n]*\]\(([^()\s]+)\)"
+SUFFIXES = {"audio": r"(?i)\.(?:wav|mp3|flac|ogg)$", "document": r"(?i)\.(?:pdf|docx?|pptx?)$"}
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 
@@ -44,16 +51,28 @@ def escape(text: str) -> str:
     return _STARTS.sub(lambda m: m[1] + MARK + "c", text.replace(MARK, MARK + "e"))
 
 
-def unescape(text: str) -> str:
-    return _UNDO.sub(lambda m: MARK if m[1] == "e" else "", text)
+def unescape(text: str, sources: Iterator[str] = iter(())) -> str:
+    """The text; a placeholder becomes the next of ``sources``, the escapes of the text itself what they stand for."""
+    return _UNDO.sub(lambda m: next(sources, "") if m[1] is None else {"e": MARK, "c": "", "n": "\n"}[m[1]], text)
+
+
+def plain_parts(text: str) -> list[dict]:
+    """A plain text as typed parts: its media references, and the texts around them."""
+    out, at = [], 0
+    for m in re.finditer(MEDIA, text):
+        out.append({"type": "text", "text": text[at : m.start()]})
+        kind = next((k for k, p in SUFFIXES.items() if re.search(p, m[1])), "image")
+        out.append({"type": kind, "ref": m[1], "source": m[0]})
+        at = m.end()
+    return [*out, {"type": "text", "text": text[at:]}]
 
 
 class Flattener:
-    """Visits the parts of a turn. ``attachments`` holds (type, ref, expanded tokens) in order."""
+    """Visits the parts of a turn. ``attachments`` holds (type, ref, expanded tokens, source) in order."""
 
     def __init__(self, patch: int = 28, audio_rate: float = 25.0, page_tokens: int = 256):
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
-        self.attachments: list[tuple[str, str, int]] = []
+        self.attachments: list[tuple[str, str, int, str]] = []
 
     def visit(self, part: dict) -> str:
         return getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
@@ -76,36 +95,44 @@ class Flattener:
         return escape(json.dumps(part, ensure_ascii=False, sort_keys=True))
 
     def _place(self, part: dict, tokens: int) -> str:
-        self.attachments.append((part["type"], str(part.get("ref") or ""), tokens))
+        self.attachments.append((part["type"], str(part.get("ref") or ""), tokens, str(part.get("source") or "")))
         return f"<|{part['type']}|>"
 
 
+def typed_parts(content: str) -> list[dict] | None:
+    """The parts that a JSON list tells; none if the content is anything else."""
+    try:
+        got = json.loads(content) if content.startswith("[") else None
+    except ValueError:  # a text that only looks like JSON
+        return None
+    return got if isinstance(got, list) and all(isinstance(p, dict) for p in got) else None
+
+
 def format_turn(role: str | None, content: str | None, typed: bool = False) -> dict:
-    """The formatted turn, its loss span (code points, of assistant text), and its attachments."""
-    role, content = escape((role or "").replace("\n", " ")), content or ""
-    parts = [{"type": "text", "text": content}]
-    if typed and content.startswith("["):
-        try:
-            got = json.loads(content)
-            parts = got if isinstance(got, list) and all(isinstance(p, dict) for p in got) else parts
-        except ValueError:  # a text that only looks like JSON
-            pass
-    v = Flattener()
-    body = "".join(map(v.visit, parts))
-    head = f"<|im_start|>{role}\n"
-    own = role == "assistant"
+    """The formatted turn, its loss spans (code points, of assistant text), and its attachments."""
+    told = typed_parts(content or "") if typed else None
+    v, body = Flattener(), f"<|im_start|>{escape(role or '').replace(chr(10), MARK + 'n')}\n"
+    loss: list[dict] = []
+    for part in plain_parts(content or "") if told is None else told:
+        before, body = len(body), body + v.visit(part)
+        said = part.get("type") not in ("image", "audio", "document") or part.get("source")
+        if role == "assistant" and said and len(body) > before:
+            if loss and loss[-1]["end"] == before:
+                loss[-1]["end"] = len(body)
+            else:
+                loss.append({"start": before, "end": len(body)})
     return {
-        "formatted": f"{head}{body}<|im_end|>\n",
-        "loss_start": len(head) if own else 0,
-        "loss_end": len(head) + len(body) if own else 0,
-        "attachments": [{"type": t, "ref": r, "tokens": n} for t, r, n in v.attachments],
-        "expanded_tokens": sum(n for *_, n in v.attachments),
+        "formatted": f"{body}<|im_end|>\n",
+        "loss": loss,
+        "attachments": [{"type": t, "ref": r, "tokens": n, "source": x} for t, r, n, x in v.attachments],
+        "expanded_tokens": sum(n for _, _, n, _ in v.attachments),
     }
 
 
 FORMATTED = pa.schema(
-    [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()),
-     ("attachments", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64())]
+    [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string()),
+     ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+     ("attachments", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64()), ("source", pa.string())]))), ("expanded_tokens", pa.int64())]
 )
 
 
@@ -121,46 +148,61 @@ def format_chat(rows: DataFrame, typed: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | {k: [x[k] for x in out] for k in FORMATTED.names[4:]}, FORMATTED)
 
     return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(
-        run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long, attachments array<struct<type:string,ref:string,tokens:long>>, expanded_tokens long"
+        lean(run), "conv_id long, turn long, role string, text string, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<type:string,ref:string,tokens:long,source:string>>, expanded_tokens long"
     )
 
 
 DIGEST = pa.schema(
-    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("expanded_tokens", pa.int64())]
-)
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_attachments", pa.int64()), ("expanded_tokens", pa.int64())]
+)
+
+
+class _Conversation:
+    """What has been read back of one conversation."""
+
+    def __init__(self):
+        self.turns = self.loss_chars = self.chars = self.attachments = self.tokens = 0
+        self.said, self.learned = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, segment: str, loss: list[dict], attachments: list[dict]) -> None:
+        for m in TURN.finditer(segment):
+            self.turns += 1
+            self.said.update(f"{unescape(m[1])}\n{unescape(m[2], iter([a['source'] for a in attachments]))}\n".encode("utf-8", "surrogatepass"))
+        sources = iter([a["source"] for a in attachments if a["source"]])
+        for span in loss:
+            text = unescape(segment[span["start"] : span["end"]], sources)
+            self.loss_chars += len(text)
+            self.learned.update(text.encode("utf-8", "surrogatepass"))
+        self.chars += len(segment)
+        self.attachments += len(attachments)
+        self.tokens += sum(a["tokens"] for a in attachments)
+
+    def row(self, conv_id: int | None) -> dict:
+        told = (conv_id, self.turns, self.said.hexdigest(), self.loss_chars, self.learned.hexdigest(), self.chars, self.attachments, self.tokens)
+        return dict(zip(DIGEST.names, told, strict=True))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its output says: parsed turns, text under the loss mask, sizes."""
+    """Per conversation, what its output says: parsed turns, text under the loss mask, sizes, attachments."""
     ship(formatted.sparkSession)
 
     def run(batches):
-        at, now = object(), None
+        at, now = None, None
         for b in batches:
             out = []
-            for c, seg, lo, hi, extra in zip(*(b.column(n).to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end", "expanded_tokens")), strict=True):
-                if c != at or now is None:
+            for c, segment, loss, attachments in zip(*(b.column(n).to_pylist() for n in ("conv_id", "formatted", "loss", "attachments")), strict=True):
+                if now is None or c != at:
                     if now:
-                        out.append(_ended(at, now))
-                    at, now = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, body in TURN.findall(seg):
-                    now[0] += 1
-                    now[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-                text = unescape(seg[lo:hi])
-                now[2] += len(text)
-                now[3].update(text.encode())
-                now[4] += len(seg)
-                now[5] += extra
+                        out.append(now.row(at))
+                    at, now = c, _Conversation()
+                now.add(segment, loss, attachments)
             yield pa.RecordBatch.from_pylist(out, DIGEST)
         if now:
-            yield pa.RecordBatch.from_pylist([_ended(at, now)], DIGEST)
-
-    def _ended(c, now):
-        return dict(zip(DIGEST.names, (c, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), now[4], now[5]), strict=True))
+            yield pa.RecordBatch.from_pylist([now.row(at)], DIGEST)
 
     return (
         formatted.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .select("conv_id", "formatted", "loss_start", "loss_end", "expanded_tokens")
-        .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")
+        .select("conv_id", "formatted", "loss", "attachments")
+        .mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")
     )

@@ -50,7 +50,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op8_typed_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chat(rows.unionByName(probe))).drop("expanded_tokens")
+    return chat.read_back(chat.format_chat(rows.unionByName(probe)))
 
 
 def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,12 @@ QUERIES = {
     )
 }
 
-_OCCURRENCES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in (*chat.CONTROL,))
+def _escapes(col: str) -> str:
+    """Characters that escaping adds to a text."""
+    return " + ".join([f"(length({col}) - length(replace({col}, '{c}', ''))) // {len(c)} * 2" for c in chat.CONTROL] + [f"length({col}) - length(replace({col}, '{chat.MARK}', ''))"])
+
+
+_KIND = " ".join(f"WHEN regexp_matches(ref, '{p}') THEN '{k}'" for k, p in chat.SUFFIXES.items())
 
 ORACLES = {
     "op1_bagminhash_near_dedup": r"""
@@ -95,16 +100,19 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, do
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+), m AS (SELECT row_number() OVER () AS r, *, regexp_extract_all(text, '{chat.MEDIA}', 1) AS refs, regexp_replace(text, '{chat.MEDIA}', chr(0), 'g') AS bare FROM t
+), k AS (SELECT r, CASE {_KIND} ELSE 'image' END AS kind FROM (SELECT r, unnest(refs) AS ref FROM m)
+), a AS (SELECT r, sum(length(kind) + 4 - 1) AS placed, count(*) AS n, sum(CASE kind WHEN 'image' THEN 256 WHEN 'audio' THEN 0 ELSE 256 END) AS tokens FROM k GROUP BY r
 ), u AS (
-  SELECT *, length('<|im_start|>') + length(role) + 1 + length(text) + 2 * ({_OCCURRENCES})
-    + (length(text) - length(replace(text, '{chat.MARK}', ''))) + length('<|im_end|>') + 1 AS chars
-  FROM t
+  SELECT m.*, coalesce(n, 0) AS n, coalesce(tokens, 0) AS tokens, length('<|im_start|>') + length(role) + ({_escapes("role")}) + length(role) - length(replace(role, chr(10), '')) + 1
+    + length(bare) + coalesce(placed, 0) + ({_escapes("bare")}) + length('<|im_end|>') + 1 AS chars
+  FROM m LEFT JOIN a ON m.r = a.r
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(sum(n) AS BIGINT) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens
 FROM u GROUP BY conv_id
 """,
     "op10_content_hash_dedup": """

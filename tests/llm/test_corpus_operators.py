@@ -155,7 +155,7 @@ def brute_mix(rows, block=512):
 
 def test_mix_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
-    _, rows, sizes = mixing._layout(docs, "doc_id", "text", "source", 256, [])
+    _, rows, sizes = mixing._layout(docs, "doc_id", "text", "source", [])
     want = brute_mix([r.asDict() for r in rows.collect()])
     of = {r.uid: r.doc_id for r in rows.collect()}
     got = {r.doc_id: r for r in queries.op4_block_mixing(spark, sf).collect()}
@@ -195,6 +195,20 @@ def test_mix_texts_hold_the_words_taken(spark, sf):
     assert mixing.mix_texts(docs.limit(0)).count() == 0
 
 
+def test_draws_follow_one_law_at_every_size():
+    """Ten thousand million slots go by the law that a hundred go by: counts near the shares of what is left, totals met."""
+    rng = np.random.default_rng(1)
+    for scale in (10, 10**9):
+        slots = [6 * scale, 1 * scale, 3 * scale, 0]
+        draws = mixing._draws(slots, 50, least=1)
+        assert [sum(n for _, s, _, n in draws if s == i) for i in range(4)] == slots
+        assert all(n > 0 for *_, n in draws)
+    left = np.array([60, 10, 30])
+    mean = np.mean([mixing._draw(rng, left, 20) for _ in range(4000)], axis=0)
+    assert np.allclose(mean, 20 * left / left.sum(), atol=0.3)
+    assert (mixing._draw(rng, left, 100) == left).all()
+
+
 def test_draws_meet_totals():
     slots = [1000, 3, 0, 421]
     draws = mixing._draws(slots, 16, least=8)
@@ -234,7 +248,6 @@ def exact_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -259,6 +272,17 @@ def test_packing_of_long_texts_by_blocks(spark, monkeypatch):
     assert check_packing(got, [(1, exact_ids([text])[0])]) < 1.02
 
 
+def test_encoder_agrees_on_every_character_and_added_tokens():
+    e = packing.Encoder(queries.tokenizer())
+    chars = [chr(c) for c in range(0x20, 0x250)]
+    texts = [f"a{c}b {c} {c}{c} h{c}yat {c}a b{c} 1{c}2 '{c}s" for c in chars]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|>", "|<|endoftext|", "it'S don'T we'LL x'Re", "y" * 100 + "<|endoftext|>"]
+    texts += [f"ab{chr(c)}cd" for c in [*range(0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+    assert got == [x[:-1] for x in exact_ids(texts)]
+    assert got == [np.frombuffer(x, "<u4").tolist() for t in texts for x in e.encode([t])]
+
+
 def test_bulk_encoder_agrees_on_random_words():
     rng = random.Random(5)
     e = packing.Encoder(queries.tokenizer())

@@ -142,8 +142,9 @@ def test_license_base_brute_force(spark, sf):
 
 
 def test_license_cover_labels_a_notice_without_its_name():
-    got = licenses.scan_text(LICENSES[6])
-    assert got["base_labels"] == "" and got["labels"] == "mit" and got["score"] > 0.6
+    notice = licenses.TEMPLATES[0][1].replace("free of charge, ", "").replace("publish, ", "print, ")
+    got = licenses.scan_text(notice)
+    assert got["base_labels"] == "" and got["labels"] == "mit" and 0.6 < got["score"] < 1
     assert got["spans"][0]["first"] == 0
     assert licenses.scan_text("granted free of charge to")["labels"] == ""
 
@@ -162,8 +163,8 @@ def test_matching_statistics_brute_force():
     grams = set()
     for _, t in licenses.TEMPLATES:
         w = brute_words(t)
-        grams |= {tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-    text = " ".join(t for _, t in licenses.TEMPLATES[:3]) + " the license you may not use this file of the software foundation " + licenses.TEMPLATES[3][1]
+        grams |= {tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 70) + 1)}
+    text = " ".join(" ".join(brute_words(t)[:60]) for _, t in licenses.TEMPLATES[:6]) + " the license you may not use this file of the software foundation " + licenses.TEMPLATES[3][1][40:300]
     words = brute_words(text)
     v = size = 0
     for i, w in enumerate(words):
@@ -174,7 +175,52 @@ def test_matching_statistics_brute_force():
         if k in s.auto.next[v]:
             v, size = s.auto.next[v][k], size + 1
         want = max((n for n in range(1, min(i + 1, 70) + 1) if tuple(words[i + 1 - n : i + 1]) in grams), default=0)
-        assert size == want or (size >= 1 and want == 0 and w in {x for p, _ in licenses.PHRASES for x in p.split()})
+        assert min(size, 70) == want or (size >= 1 and want == 0 and w in {x for p, _ in licenses.PHRASES for x in p.split()})
+
+
+def test_license_chains_brute_force():
+    """Every order-keeping set of anchors within the gaps, against the chains that the operator takes."""
+    import random
+
+    s, rng = licenses.Scanner(), random.Random(4)
+    t = next(i for i in range(s.n_phrases, len(s.sizes)) if 60 <= s.sizes[i] <= 200)
+    template = brute_words(licenses.TEMPLATES[t - s.n_phrases][1])
+    for _ in range(60):
+        words, at = [], 0
+        for _ in range(rng.randint(2, 6)):  # pieces of the template, in or out of order, with strange words between
+            at = rng.randrange(len(template) - 8) if rng.random() < 0.3 else min(at + rng.randint(0, 25), len(template) - 8)
+            n = rng.randint(2, 20)
+            words += template[at : at + n] + [f"strange{rng.randrange(9)}"] * rng.randint(1, 25)
+            at += n
+        anchors = []
+        n = len(words)
+        i = 0
+        while i < n:  # maximal matches with any template, word by word
+            best = 0
+            while i + best < n and any(words[i : i + best + 1] == other[k : k + best + 1] for other in ALL for k in range(len(other) - best)):
+                best += 1
+            if best >= licenses.MIN_MATCH and not any(a <= i and i + best <= a + m for a, m in anchors):
+                anchors.append((i, best))
+            i += 1
+        spots = [(a, m, k + m) for a, m in anchors for k in range(len(template) - m + 1) if template[k : k + m] == words[a : a + m]]
+        reach = {}
+        for a, m, end in sorted(spots):
+            ok = [c for (a2, m2, end2), c in reach.items() if a2 + m2 <= a <= a2 + m2 + licenses.GAP and end2 <= end - m <= end2 + licenses.GAP]
+            reach[(a, m, end)] = m + max(ok, default=0)
+        want = max(reach.values(), default=0) / len(template)
+        got = s.scan(" ".join(words))["covers"].get(t, (0.0,))[0]
+        assert got == pytest.approx(want)
+
+
+ALL = [brute_words(t) for _, t in licenses.TEMPLATES] + [p.split() for p, _ in licenses.PHRASES]
+
+
+def test_license_score_is_what_statistics_say():
+    named = licenses.scan_text("it mentions the mit license once")
+    whole = licenses.scan_text(licenses.TEMPLATES[0][1])
+    both = licenses.scan_text("mit license " + licenses.TEMPLATES[0][1])
+    part = licenses.scan_text(licenses.TEMPLATES[0][1][:200])
+    assert named["score"] == pytest.approx(0.5, abs=0.1) and whole["score"] == 1.0 == both["score"] and 0 < part["score"] < 0.6 and part["labels"] == ""
 
 
 def test_license_blocks_do_not_change_results(monkeypatch):
@@ -204,12 +250,56 @@ def test_language_edges(spark, sf):
     assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and got[3].lang_pred in model.langs and got[4].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in got.values())
     kept = langid.keep_identified(frame(spark, texts), model)
-    assert kept.columns == frame(spark, texts).columns and {r.doc_id for r in kept.collect()} == {4, 5}
+    assert kept.columns == frame(spark, texts).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.lang_pred != "und" and r.score >= 0.15} >= {4, 5}
     nothing = langid.fit(frame(spark, [None]))
     assert langid.identify(frame(spark, ["some text"]), nothing).first().lang_pred == "und"
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_decides_as_exact_sets_do(spark, sf):
+    """Brute force: the same n-grams in plain sets, character by character; only near ties may go another way."""
+    docs = table(spark, sf, "documents")
+    kept, model = {}, None
+    plain = langid.Filter
+
+    class Recorder(plain):
+        def __init__(self, grams, *a, **k):
+            kept.update({lang: set(g.tolist()) for lang, g in grams.items()})
+            super().__init__(grams, *a, **k)
+
+    langid.Filter = Recorder
+    try:
+        model = langid.fit(docs)
+    finally:
+        langid.Filter = plain
+    model.__class__ = plain
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    clear = 0
+    for i, text in texts.items():
+        low = "".join(c if c.isalpha() else "\0" for c in (text or "").lower())
+        low = f"\0{low}\0"
+        windows = [low[a : a + 3] for a in range(len(low) - 2) if low[a + 1] != "\0"] + [low[a : a + 4] for a in range(len(low) - 3) if low[a + 1] != "\0" and low[a + 2] != "\0"]
+        share = {lang: sum(gram_hash(w) in grams for w in windows) / max(1, len(windows)) for lang, grams in kept.items()}
+        best = sorted(share.values(), reverse=True)
+        if windows and best[0] - best[1] > 0.02:
+            clear += 1
+            assert got[i].lang_pred == max(share, key=share.get)
+            assert abs(got[i].score - best[0]) < 0.02
+    assert clear > 0.9 * len(texts)
+
+
+def gram_hash(w):
+    m = 2**64 - 1
+    c = [0 if x == "\0" else ord(x) for x in w]
+    h = (((c[0] * 0x100000001B3 + c[1]) * 0x100000001B3 + c[2]) * 0x100000001B3) & m
+    if len(c) == 4:
+        h = (h + c[3] + (1 << 62)) & m
+    h = ((h ^ (h >> 31)) * 0x7FB5D329728EA185) & m
+    h = ((h ^ (h >> 27)) * 0x81DADEF4BC2DD44D) & m
+    return h ^ (h >> 33)
+
+
 def test_language_filter_has_no_false_negatives():
     import numpy as np
 
@@ -231,6 +321,10 @@ TURNS = [
     (1, None, None, None),
     (2, 0, "system", ""),
     (None, 5, "assistant", "<<SYS>><|image|>" * 500),
+    (3, 0, "as\nsis\n<s>tant␛n", "see ![a cat](cat.png) and ![x](talk.WAV), ![r](r.pdf)![](b)"),
+    (3, 1, "assistant", "![only](one.jpg)"),
+    (3, 2, "assistant", '[{"type":"text","text":"not typed"}] ![<|image|>](</s>.pdf)'),
+    (3, 3, "", "![broken](two words) <|document|> ![no"),
 ]
 
 
@@ -261,10 +355,28 @@ def test_chat_escape_hides_control_strings_and_is_undone():
         assert not any(c in hidden for c in chat.CONTROL) and chat.unescape(hidden) == text
 
 
-def test_chat_typed_parts():
+def test_chat_sql_on_media_and_odd_roles(spark):
+    import duckdb
+
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").filter("conv_id = 3")
+    con = duckdb.connect()
+    con.register("c", df.toPandas())
+    con.execute("create view conversations as select * from c")
+    result = con.execute(queries.ORACLES["op8_typed_chat_format"])
+    want = {r[0]: dict(zip([d[0] for d in result.description], r)) for r in result.fetchall()}[3]
+    assert chat.read_back(chat.format_chat(df)).first().asDict() == want
+    assert want["n_attachments"] == 6 and want["expanded_tokens"] == 5 * 256
+
+
+def test_chat_typed_parts(spark):
     parts = '[{"type":"text","text":"see </s>"},{"type":"image","ref":"a.png","width":56,"height":29},{"type":"audio","ref":"b.wav","seconds":2},{"type":"document","ref":"c.pdf","pages":3},{"type":"odd","k":1}]'
     got = chat.format_turn("assistant", parts, typed=True)
     assert [(a["type"], a["ref"], a["tokens"]) for a in got["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c.pdf", 768)]
     assert got["expanded_tokens"] == 822 and got["formatted"].index("<|image|>") < got["formatted"].index("<|audio|>") < got["formatted"].index("<|document|>")
     assert "</s>" not in got["formatted"]
+    learned = "".join(chat.unescape(got["formatted"][x["start"] : x["end"]]) for x in got["loss"])
+    assert learned == 'see </s>{"k": 1, "type": "odd"}'  # no placeholder under the mask
     assert chat.format_turn("user", "[not json", typed=True)["attachments"] == []
+    row = chat.read_back(chat.format_chat(spark.createDataFrame([(1, 0, "assistant", parts)], "conv_id long, turn long, role string, text string"), typed=True)).first()
+    assert (row.n_turns, row.n_attachments, row.expanded_tokens, row.loss_chars) == (1, 3, 822, len(learned))
+    assert row.turns_sha256 == hashlib.sha256(f"assistant\n{learned}\n".encode()).hexdigest()
