@@ -84,7 +84,44 @@ def _escapes(col: str) -> str:
 
 _KIND = " ".join(f"WHEN regexp_matches(ref, '{p}') THEN '{k}'" for k, p in chat.SUFFIXES.items())
 
+def _secret_spans(kind: int, pattern: str, least: int = 0, group: int = 0) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT doc_id, {kind} AS k, e - length(m) AS s, e, v FROM (
+  SELECT doc_id, m, v, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p}))
+  )
+) WHERE length(v) >= {least}"""
+
+
+def _hot(cls: secrets.CharClass, value: str) -> str:
+    """Whether any window's sum of terms is small enough."""
+    counts = f"list_transform(list_distinct(string_split(x, '')), lambda c: [{', '.join(map(str, secrets.TERMS))}][length(x) - length(replace(x, c, '')) + 1])"
+    windows = f"list_transform(range(1, greatest(length({value}) - {cls.window - 2}, 1)), lambda i: substr({value}, i, {cls.window}))"
+    return f"len(list_filter({windows}, lambda x: list_sum({counts}) <= {secrets.limit(cls)})) > 0"
+
+
+_HEX, _BASE64 = secrets.CLASSES
+
 ORACLES = {
+    "op6_entropy_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_secret_spans(0, secrets.ASSIGN, 12, 2)} UNION ALL {_secret_spans(1, secrets.ACCESS, 18)} UNION ALL {_secret_spans(2, secrets.HEX)}),
+c AS (SELECT *, list_filter(string_split(v, '/'), lambda x: x <> '') AS names FROM ({_secret_spans(3, secrets.CANDIDATE)})),
+added AS (
+  SELECT doc_id, k, s, e FROM c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)
+    AND NOT regexp_matches(v, '{secrets.UUID}') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND regexp_replace(v, '{secrets.STAND_IN}', '', 'g') <> ''
+    AND NOT ((v[1] = '/' OR contains(v, '//')) AND NOT contains(v, '///') AND len(names) - CASE WHEN v[1] = '/' THEN 0 ELSE 1 END >= 2
+      AND len(list_filter(names, lambda n: len(list_filter(string_split_regex(n, '[_-]'), lambda x: NOT regexp_matches(x, '{secrets.WORD}'))) > 0)) = 0)
+    AND CASE WHEN regexp_matches(v, '{_HEX.pattern}') THEN {_hot(_HEX, "lower(v)")} ELSE {_hot(_BASE64, "v")} END
+),
+listed AS (SELECT doc_id, k, s, e, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS told FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT * FROM added)),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(told, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(told, ',' ORDER BY s, k, e) AS spans FROM listed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
     "op1_bagminhash_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),

@@ -8,7 +8,10 @@ describes all of it or if it overlaps a base span. Every row stands alone, so ti
 tables need nothing special, and other columns are not read.
 
 The entropy of a window of w characters is log2(w) - S/w with S the sum of c*log2(c) over the
-character counts. A step of the window changes two counts, and S by their four terms.
+character counts. A step of the window changes two counts, and S by their four terms. Terms are
+whole numbers of 2**-32, so that S is the same whatever the order of steps, and counts are five-bit
+fields of six numbers, so that a step writes two fields and copies no table. Long texts cost one pass,
+span offsets one running sum.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, pieces, running_sum
+
 # The base kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,85 +44,118 @@ CLASSES = (
     CharClass("hex", r"^[0-9A-Fa-f]+$", "0123456789abcdef", 16, 3.0),
     CharClass("base64", r"^[0-9A-Za-z+/_=-]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 20, 3.8),
 )
-CANDIDATE = r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{20,}+"
-_WORD = r"(?:[A-Z]?[a-z]{1,24}(?:[A-Z][a-z]{2,24}){0,3}|[A-Z]{1,24}|(?=[0-9]))[0-9]{0,4}"
-_SEGMENT = rf"{_WORD}(?:[_-]{_WORD})*+"
-# Every pattern describes a whole candidate: what merely stands beside a secret must not hide it.
-ALLOW = (
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUID
-    # made-up values: nothing but stand-in words, labels, runs of the alphabet and signs
-    r"(?i)^(?:example|sample|placeholder|dummy|changeme|x{4,}+|your|my|test|api|access|secret|private|key|token|password|passwd|value|id|here"
-    r"|0?1234567890?|abcdefgh(?:ijklmnop(?:qrstuvwxyz)?)?|[+/_=-])++$",
-    r"^[^0-9]+$",  # no digit: words joined by signs
-    r"^[^A-Za-z]+$",  # no letter: numbers, dates, rules
-    rf"^(?=/|.*//)(?:{_SEGMENT})?+(?:/{{1,2}}{_SEGMENT}){{2,}}+/?$",  # paths of two or more plain names
+CANDIDATE = r"[0-9A-Za-z+/_=-]{20,}"  # greedy, so always a whole run
+# What an allowed candidate is: every rule describes all of it, for what merely stands beside a secret must not hide it.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+NO_DIGIT, NO_LETTER = r"^[^0-9]+$", r"^[^A-Za-z]+$"  # words joined by signs; numbers, dates, rules
+#: Made-up values are nothing but stand-in words, labels, runs of the alphabet and signs: nothing is left without these.
+STAND_IN = (
+    r"(?i)example|sample|placeholder|dummy|changeme|xxxx+|your|my|test|api|access|secret|private|key|token|password|passwd|value|id|here"
+    r"|0?1234567890?|abcdefgh(?:ijklmnop(?:qrstuvwxyz)?)?|[+/_=-]"
 )
+#: A path has two plain names or more behind slashes; a name is words joined by - or _, a word letters then digits.
+WORD = r"^(?:[A-Z]?[a-z]{1,24}(?:[A-Z][a-z]{2,24}){0,3}[0-9]{0,4}|[A-Z]{1,24}[0-9]{0,4}|[0-9]{1,4})$"
+_SHIFT, _FIELDS = 5, 12
+UNIT = 1 << 32
+TERMS = tuple(round(c * math.log2(c) * UNIT) if c else 0 for c in range(22))
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches as array<struct<s, e, v>>; v is the given group's text."""
-    parts = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.zip_with(
-        F.zip_with(F.slice(parts, 1, F.size(whole)), whole, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("len"))),
-        value,
-        lambda x, v: F.struct(x.gap.alias("gap"), x.len.alias("len"), v.alias("v")),
-    )
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc.at + x.gap + x.len).alias("at"),
-            F.concat(acc.out, F.array(F.struct((acc.at + x.gap).alias("s"), (acc.at + x.gap + x.len).alias("e"), x.v.alias("v")))).alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
 
+    def placed(whole: Column) -> Column:
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), lambda p: F.char_length(p))
+        ends = running_sum(F.zip_with(gaps, whole, lambda g, m: g + F.char_length(m)))
+        return F.transform(F.arrays_zip(whole.alias("m"), ends.alias("e"), value.alias("v")), lambda x: F.struct((x.e - F.char_length(x.m)).alias("s"), x.e.alias("e"), x.v.alias("v")))
 
-def _clog(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def peak_entropy(value: Column, cls: CharClass) -> Column:
     """The largest entropy of any window of ``cls.window`` characters; 0 for shorter values."""
+    return math.log2(cls.window) - least_sum(value, cls) / float(cls.window * UNIT)
+
+
+def least_sum(value: Column, cls: CharClass) -> Column:
+    """The smallest S of any window, in units: that of the largest entropy."""
     folded = F.lower(value) if cls.name == "hex" else value
-    w = cls.window
-    places = F.transform(F.split(folded, ""), lambda ch: F.instr(F.lit(cls.alphabet), ch))
+    w, fields = cls.window, -(-len(cls.alphabet) // _FIELDS)
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    places = F.transform(F.split(folded, ""), lambda ch: F.instr(F.lit(cls.alphabet), ch) - 1)
+
+    def slot(place: Column) -> Column:
+        return (place % _FIELDS) * _SHIFT
+
+    def count(acc: Column, place: Column) -> Column:
+        field = F.lit(0).cast("long")
+        for k in range(fields):
+            field = F.when(F.floor(place / _FIELDS) == k, acc[f"f{k}"]).otherwise(field)
+        return F.call_function("shiftright", field, slot(place)).bitwiseAND((1 << _SHIFT) - 1).cast("int")
+
+    def added(acc: Column, place: Column, by: int) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot(place)) * by
+        return F.struct(*[(acc[f"f{k}"] + F.when(F.floor(place / _FIELDS) == k, bit).otherwise(0)).alias(f"f{k}") for k in range(fields)])
 
     def step(acc: Column, x: Column) -> Column:
-        into, out = x.into, x.out
-        c_in = F.element_at(acc.counts, into)
-        c_out = F.when(out > 0, F.element_at(acc.counts, F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
-        change = _clog(c_in + 1) - _clog(c_in) + _clog(c_out - 1) - _clog(c_out)
-        s = acc.s + F.when(into == out, F.lit(0.0)).otherwise(change)
-        counts = F.transform(acc.counts, lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
-        best = F.when(x.i >= w, F.greatest(acc.best, F.lit(math.log2(w)) - s / w)).otherwise(acc.best)
-        return F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
-
-    entering = F.transform(
+        def left(c: Column) -> Column:  # the count that goes down, once the other has gone up
+            s = acc["s"] + F.get(terms, c["n"] + 1) - F.get(terms, c["n"])
+            return let(
+                F.struct(added(acc["c"], x["into"], 1).alias("c"), s.alias("s")),
+                lambda up: let(
+                    F.when(x["out"] >= 0, count(up["c"], x["out"])).otherwise(0),
+                    lambda n: let(
+                        F.struct(
+                            F.when(x["out"] >= 0, added(up["c"], x["out"], -1)).otherwise(up["c"]).alias("c"),
+                            F.when(x["out"] >= 0, up["s"] + F.get(terms, n - 1) - F.get(terms, n)).otherwise(up["s"]).alias("s"),
+                        ),
+                        lambda done: F.struct(done["c"].alias("c"), done["s"].alias("s"), F.when(x["i"] >= w, F.least(acc["least"], done["s"])).otherwise(acc["least"]).alias("least")),
+                    ),
+                ),
+            )
+
+        return let(F.struct(count(acc["c"], x["into"]).alias("n")), left)
+
+    entering = let(
         places,
-        lambda p, i: F.struct((i + 1).alias("i"), p.alias("into"), F.when(i >= w, F.get(places, i - w)).otherwise(F.lit(0)).alias("out")),
+        lambda p: F.transform(p, lambda at, i: F.struct((i + 1).alias("i"), at.alias("into"), F.when(i >= w, F.get(p, i - w)).otherwise(F.lit(-1)).alias("out"))),
     )
-    start = F.struct(F.array_repeat(F.lit(0), len(cls.alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(entering, start, step, lambda acc: acc.best)
+    none = F.struct(*[F.lit(0).cast("long").alias(f"f{k}") for k in range(fields)])
+    most = F.lit(round(w * math.log2(w) * UNIT)).cast("long")
+    start = F.struct(none.alias("c"), F.lit(0).cast("long").alias("s"), most.alias("least"))
+    return F.aggregate(entering, start, step, lambda acc: acc["least"])
+
+
+def limit(cls: CharClass) -> int:
+    """The largest S, in units, that a window of the class's entropy may have."""
+    return math.floor((math.log2(cls.window) - cls.bits) * cls.window * UNIT)
+
+
+def allowed(value: Column) -> Column:
+    """Whether a candidate is nothing but an identifier, a made-up value, words, numbers, or a path of plain names."""
+    names = F.filter(F.split(value, "/", -1), lambda x: x != "")
+    plain = F.forall(names, lambda n: F.forall(F.split(n, "[_-]", -1), lambda x: x.rlike(WORD)))
+    behind = F.size(names) - F.when(value.startswith("/"), 0).otherwise(1)
+    path = (value.startswith("/") | value.contains("//")) & ~value.contains("///") & (behind >= 2) & plain
+    return value.rlike(UUID) | value.rlike(NO_DIGIT) | value.rlike(NO_LETTER) | (F.regexp_replace(value, STAND_IN, "") == "") | path
 
 
 def _added(text: Column, base: Column) -> Column:
     """Entropy spans among the candidates, without allowed ones and without those a base span meets."""
 
-    def secret(x: Column) -> Column:
-        allowed = F.lit(False)
-        for p in ALLOW:
-            allowed = allowed | x.v.rlike(p)
+    def secret(x: Column, met: Column) -> Column:
         hot = F.lit(False)
         for cls in reversed(CLASSES):  # the narrowest class that holds the whole string decides
-            hot = F.when(x.v.rlike(cls.pattern), peak_entropy(x.v, cls) >= cls.bits).otherwise(hot)
-        met = F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e))
-        return F.when(allowed | met, False).otherwise(hot)
+            hot = F.when(x.v.rlike(cls.pattern), least_sum(x.v, cls) <= limit(cls)).otherwise(hot)
+        return F.when(allowed(x.v) | met, False).otherwise(hot)
+
+    def meets(x: Column, parts: Column) -> Column:
+        return F.exists(parts, lambda p: (p.lo < x.e) & (x.s < p.hi) & F.exists(p.own, lambda b: (b.s < x.e) & (x.s < b.e)))
 
-    return F.filter(spans(text, CANDIDATE), secret)
+    # base spans by place, in pieces with their bounds: a candidate looks into the pieces that it reaches
+    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b.s.alias("s"), b.e.alias("e"))))
+    bounded = F.transform(pieces(ordered, 64), lambda p: F.struct(F.get(p, F.lit(0)).s.alias("lo"), F.array_max(F.transform(p, lambda b: b.e)).alias("hi"), p.alias("own")))
+    return let(bounded, lambda parts: F.filter(spans(text, CANDIDATE), lambda x: secret(x, F.coalesce(meets(x, parts), F.lit(False)))))
 
 
 def _listed(found: Column) -> Column:
