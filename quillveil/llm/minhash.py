@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import discard, fresh, lean, materialize, ship
@@ -42,6 +42,8 @@ LIKELY = 0.6
 BLOCK = 1 << 18
 MEMBERS, ITEMS = 2048, 500_000
 SALTS = 64
+#: Rows of the longest list that is broadcast, some 8 MB of ids and hashes; longer ones are joined by key.
+SHORT = 200_000
 
 _SPLIT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -389,6 +391,11 @@ def _stars(multi: DataFrame) -> DataFrame:
     return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
+def _short(rows: DataFrame) -> DataFrame:
+    """A written list of narrow rows, to be broadcast if it is short, so that whole texts need no shuffle to meet it."""
+    return F.broadcast(rows) if rows.count() <= SHORT else rows
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and per distinct words: w1, w2, stays (the row that stays), class_size."""
     ship(docs.sparkSession)
@@ -407,9 +414,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     multi = materialize(buckets.join(shared, "key"), "near-buckets")
     stars = materialize(_likely(_stars(multi), nodes), "near-stars")
 
-    wanted = multi.select("node").distinct().join(nodes.select("node", "doc_id", "x1", "x2"), "node")
+    wanted = materialize(multi.select("node").distinct().join(nodes.select("node", "doc_id", "x1", "x2"), "node"), "near-wanted")
     whole = text.alias("t").join(
-        wanted.alias("k"), (F.col("t.x1") == F.col("k.x1")) & (F.col("t.x2") == F.col("k.x2")) & F.col("t.doc_id").eqNullSafe(F.col("k.doc_id"))
+        _short(wanted).alias("k"), (F.col("t.x1") == F.col("k.x1")) & (F.col("t.x2") == F.col("k.x2")) & F.col("t.doc_id").eqNullSafe(F.col("k.doc_id"))
     ).select("k.node", "t.text")
 
     def items(batches):
@@ -439,28 +446,39 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, class_id, class_size, kept (the class's document that stays)."""
-    return _labelled(docs, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    rows = _judged(docs, id_col, text_col).select("*", copies)
+    return rows.select("doc_id", "class_id", "class_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per distinct id and text, with its copies and whether it stays."""
     base, classes = _classes(docs, id_col, text_col)
     # copies of a row meet before the join, on the map side
     rows = base.groupBy("doc_id", "x1", "x2", "w1", "w2", "n").agg(F.count(F.lit(1)).alias("copies"))
     known = classes.withColumnsRenamed({"w1": "c1", "w2": "c2"})
     worded = rows.filter("n > 0").join(known, (F.col("w1") == F.col("c1")) & (F.col("w2") == F.col("c2")))
     own = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("x1") == F.col("stays.x1")) & (F.col("x2") == F.col("stays.x2"))
-    out = worded.select("doc_id", "x1", "x2", "copies", F.col("stays.doc_id").alias("class_id"), "class_size", own.alias("stays")).unionByName(
+    return worded.select("doc_id", "x1", "x2", "copies", F.col("stays.doc_id").alias("class_id"), "class_size", own.alias("stays")).unionByName(
         rows.filter("n = 0").select("doc_id", "x1", "x2", "copies", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("stays"))
     )
-    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).withColumn("kept", F.col("stays") & (F.col("copy") == 1))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: one document of each class."""
-    keep = _labelled(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kd"), F.col("x1").alias("k1"), F.col("x2").alias("k2"))
-    a, b, n = (fresh(docs.columns, f"_near_{x}") for x in ("a", "b", "n"))
+    """The rows that stay, with all their columns: one document of each class. Rows that go are told by id and text hash."""
+    judged = _judged(docs, id_col, text_col).filter(~F.col("stays") | (F.col("copies") > 1))
+    told = materialize(judged.select(F.col("doc_id").alias("kd"), F.col("x1").alias("k1"), F.col("x2").alias("k2"), "stays"), "near-told")
+    a, b = (fresh(docs.columns, f"_near_{x}") for x in ("a", "b"))
     c1, c2 = _content(F.col(text_col))
     rows = docs.withColumns({a: c1, b: c2})
-    same = rows[id_col].cast("long").eqNullSafe(keep["kd"]) & (rows[a] == keep["k1"]) & (rows[b] == keep["k2"])
-    first = Window.partitionBy(id_col, a, b).orderBy(F.lit(1))
-    return rows.join(keep, same, "left_semi").withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*docs.columns)
+
+    def same(listed: DataFrame) -> Column:
+        return rows[id_col].cast("long").eqNullSafe(listed["kd"]) & (rows[a] == listed["k1"]) & (rows[b] == listed["k2"])
+
+    gone, again = told.filter("not stays"), told.filter("stays")
+    stay = rows.join(_short(gone), same(gone), "left_anti")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    # of rows that repeat, any one; the map side keeps one a task
+    repeated = stay.join(_short(again), same(again), "left_semi").groupBy(id_col, a, b).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return stay.join(_short(again), same(again), "left_anti").select(*docs.columns).unionByName(repeated.select("row.*"))
