@@ -66,6 +66,17 @@ RULE_CASES: tuple[tuple[str, str, tuple[tuple[str, str], ...]], ...] = (
     ("pem", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----", (("PRIVATE_KEY", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"),)),
     ("pem_open", "-----BEGIN RSA PRIVATE KEY-----\nMIIB", ()),
     ("jwt", "bearer eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl ok", (("JWT", "eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl"),)),
+    ("stripe_live", "use sk_live_abcdefghijklmnop1234 ok", (("API_KEY", "sk_live_abcdefghijklmnop1234"),)),
+    ("stripe_test", "use sk_test_abcdefghijklmnop1234 ok", (("API_KEY", "sk_test_abcdefghijklmnop1234"),)),
+    ("password_free", "Password: tr0ub4dor&3\nnext", (("CREDENTIAL", "tr0ub4dor&3"),)),
+    ("temporary_password", "Temporary password Zebra!4421\nnext", (("CREDENTIAL", "Zebra!4421"),)),
+    ("answer_bare", "Security answer first blue bicycle\nnext", (("CREDENTIAL", "first blue bicycle"),)),
+    ("api_token_labelled", "API token q7Rt-9xKp.2mVz8LwN4 ok", (("API_KEY", "q7Rt-9xKp.2mVz8LwN4"),)),
+    ("plan_bare", "Health plan Gold PPO 2000\nnext", (("HEALTH_INFORMATION", "Gold PPO 2000"),)),
+    ("physician", "Primary physician: Dr. Ada Byron\nnext", (("HEALTH_INFORMATION", "Dr. Ada Byron"),)),
+    ("physician_bare", "Primary physician Dr. Ada Byron\nnext", (("HEALTH_INFORMATION", "Dr. Ada Byron"),)),
+    ("clinic", "clinic: Riverside North\nnext", (("HEALTH_INFORMATION", "Riverside North"),)),
+    ("condition_bare", "Condition mild asthma\nnext", (("HEALTH_INFORMATION", "mild asthma"),)),
     ("jwt_two", "bearer eyJhbGciOi.eyJzdWIiOi ok", ()),
     ("astral", "😀😀 mail a.b@example.com ok", (("EMAIL", "a.b@example.com"),)),
 )
