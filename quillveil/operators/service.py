@@ -11,18 +11,19 @@ from .redact import redact
 
 
 def respond(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """op, text (+ any) -> ok, redacted, found, error. Only redact_text requests are looked into."""
+    """op, text (+ any) -> ok, redacted, found, error. Only redact_text requests are looked into; one without a text is an error."""
     own = fresh(requests.columns, "_asked")
-    asked = requests.withColumn(own, F.when(F.col("op") == "redact_text", F.coalesce("text", F.lit(""))))
+    asked = requests.withColumn(own, F.when(F.col("op") == "redact_text", F.col("text")))
     done = redact(asked, own, settings).drop("spans")
-    mine, quiet = F.col("op").eqNullSafe("redact_text"), F.col("op").isin("ping", "shutdown")
+    asks, quiet = F.col("op").eqNullSafe("redact_text"), F.col("op").isin("ping", "shutdown")
+    mine = asks & F.col("text").isNotNull()
     known = mine | F.coalesce(quiet, F.lit(False))
     return done.withColumns(
         {
             "ok": known,
             "redacted": F.when(mine, F.col("redacted")),
             "found": F.when(mine, F.col("found")),
-            "error": F.when(~known, F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))),
+            "error": F.when(asks & ~mine, "missing text").when(~known, F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))),
         }
     ).drop(own)
 

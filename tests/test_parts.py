@@ -153,7 +153,7 @@ def test_requests_in_bulk(spark):
 
     rows = spark.createDataFrame([(1, "ping", None), (2, "redact_text", "mail a@b.com"), (3, "redact_text", None), (4, "dance", "a@b.com"), (5, None, None)], "id int, op string, text string")
     got = {r.id: (r.ok, r.redacted, r.found, r.error) for r in respond(rows).collect()}
-    assert got == {1: (True, None, None, None), 2: (True, "mail [EMAIL_1]", 1, None), 3: (True, "", 0, None), 4: (False, None, None, "unknown op: dance"), 5: (False, None, None, "unknown op: null")}
+    assert got == {1: (True, None, None, None), 2: (True, "mail [EMAIL_1]", 1, None), 3: (False, None, None, "missing text"), 4: (False, None, None, "unknown op: dance"), 5: (False, None, None, "unknown op: null")}
     lines = spark.createDataFrame([('{"op":"redact_text","text":"a@b.com"}',)], "value string")
     assert respond_json(lines).first().response == '{"ok":true,"redacted":"[EMAIL_1]","found":1}'
 
