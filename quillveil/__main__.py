@@ -21,16 +21,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("action", choices=("scan", "redact"))
     p.add_argument("path", help="a file or folder that Spark can read")
     p.add_argument("--out", help="where redacted texts and reports are written (redact)")
-    p.add_argument("--config", help="a TOML file")
+    p.add_argument("--config", help="a TOML file; else config.toml in the folder QUILLVEIL_CONFIG_DIR")
     p.add_argument("--json", action="store_true", help="one JSON report a file, in place of counts")
     return p
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Iterator[str]:
-    settings = Settings()
-    if args.config:
-        with open(args.config, encoding="utf-8") as f:
-            settings = Settings.from_toml(f.read())
+    settings = Settings.load(args.config)
     rows = extract_text(read_files(spark, args.path), settings)
     # written once: every report and count below reads what was found, and nothing is detected again
     done = materialize(redact(rows, "text", settings), "cli")

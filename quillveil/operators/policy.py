@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import fresh
 from ..schema import Settings
+from .redact import redact
+from .rules import RULES, Rule
 
 MAX_TEXT = 200_000
+#: What stands for a withheld output: too long, failed.
+NOTICES = ("[output withheld: too long to be checked]", "[output withheld: the check failed]")
 # What reads a file's contents, what touches only names, and media suffixes.
 READERS = (
     "cat head tail less more tac nl fold cut tr fmt col expand unexpand strings xxd od hexdump hd base64 base32 dd "
@@ -52,9 +57,9 @@ def read_decision(requests: DataFrame, settings: Settings, cache_root: str) -> D
     )
 
 
-def output_decision(redacted: DataFrame, text_col: str = "text") -> DataFrame:
+def output_decision(redacted: DataFrame, text_col: str = "text", max_text: int = MAX_TEXT) -> DataFrame:
     """A tool's output after ``redact``: withheld when too long whatever the mode, served redacted, or passed."""
-    long = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) > MAX_TEXT
+    long = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) > max_text
     return redacted.withColumns(
         {
             "decision": F.when(long, "withhold").when(F.col("found") > 0, "rewrite").otherwise("allow"),
@@ -63,6 +68,48 @@ def output_decision(redacted: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def tool_output_decision(outputs: DataFrame, settings: Settings = Settings(), rules: tuple[Rule, ...] = RULES, max_text: int = MAX_TEXT) -> DataFrame:
+    """tool_name, kind, stdout, stderr, content, error -> decision, served_stdout, served_stderr, served_content.
+
+    A command's two outputs count together against the limit, and findings in either rewrite both. A read counts where
+    its ``kind`` is text. Other tools and shapes pass. What is too long is withheld in any mode, what failed (``error``)
+    when closed. Withheld texts are replaced by a notice; null texts count as empty. Passed ones are served as they came.
+    """
+    shell = F.col("tool_name").eqNullSafe("Bash")
+    reads = F.col("tool_name").eqNullSafe("Read") & F.col("kind").eqNullSafe("text")
+    blank, names = F.lit(""), [fresh(outputs.columns, n) for n in ("_main", "_side", "_own")]
+    main, side, own = map(F.col, names)
+    rows = outputs.withColumns(
+        {
+            names[0]: F.when(shell, F.coalesce("stdout", blank)).when(reads, F.coalesce("content", blank)).otherwise(blank),
+            names[1]: F.when(shell, F.coalesce("stderr", blank)).otherwise(blank),
+            names[2]: F.struct(*outputs.columns),
+        }
+    ).select(*names)
+    long = F.char_length(main) + F.char_length(side) > max_text
+    for n in names[:2]:  # what is withheld anyway is not looked into
+        done = redact(rows.withColumn("_in", F.when(~long, F.col(n))), "_in", settings, rules)
+        rows = done.select(*rows.columns, F.struct("redacted", "found").alias(f"{n}_out"))
+    first, second = F.col(f"{names[0]}_out"), F.col(f"{names[1]}_out")
+    ours, failed = shell | reads, F.col("error").isNotNull()
+    rows = rows.select(f"{names[2]}.*", *names[:2], f"{names[0]}_out", f"{names[1]}_out", long.alias(names[2]))
+    shut = own | (failed if settings.fail_mode == "closed" else F.lit(False))
+    verdict = F.when(~ours, "allow").when(shut, "withhold").when(~failed & (first["found"] + second["found"] > 0), "rewrite").otherwise("allow")
+    notice = F.when(own, NOTICES[0]).otherwise(NOTICES[1])
+
+    def served(mine: Column, col: str, text: Column, held: Column) -> Column:
+        return F.when(mine & (F.col("decision") == "withhold"), held).when(mine & (F.col("decision") == "rewrite"), text).otherwise(F.col(col))
+
+    out = rows.withColumn("decision", verdict).withColumns(
+        {
+            "served_stdout": served(shell, "stdout", first["redacted"], notice),
+            "served_stderr": served(shell, "stderr", second["redacted"], blank),
+            "served_content": served(reads, "content", first["redacted"], notice),
+        }
+    )
+    return out.drop(*names, f"{names[0]}_out", f"{names[1]}_out")
+
+
 def command_decision(commands: DataFrame, col: str = "command") -> DataFrame:
     """Denied: a command that names a media file and reads contents, or does not begin with a name-only tool."""
     words = F.transform(F.filter(F.split(F.trim(F.col(col)), r"[\s;|&()]+"), lambda w: w != ""), lambda w: F.substring_index(w, "/", -1))

@@ -14,6 +14,7 @@ from ..operators.spans import candidates, mask, resolve
 from ..runtime import table
 from ..schema import PUBLIC_TYPES, Settings, type_dimension
 from ..sources import cache, files
+from ..streaming import job
 from . import fixtures
 from . import oracle as o
 
@@ -83,9 +84,14 @@ def card_spans(spark, sf_dir):
     return _spans_of(spark, sf_dir, "documents", "doc_id", "text", _only("CREDIT_CARD"))
 
 
-@query(o.spans_sql("pages", "page_id", "html", o.URL))
+_CITED = ("see <", "> and (", ") again")
+
+
+@query(o.spans_sql("pages", "page_id", "(" + " || url || ".join(map(o.quoted, _CITED)) + ")", o.URL))
 def page_url_spans(spark, sf_dir):
-    return _spans_of(spark, sf_dir, "pages", "page_id", "html", _only("URL"))
+    """Each page's address, cited twice in a sentence."""
+    cited = F.concat(F.lit(_CITED[0]), "url", F.lit(_CITED[1]), "url", F.lit(_CITED[2]))
+    return _rows(detect(table(spark, sf_dir, "pages").select("page_id", cited.alias("text")), rules=_only("URL")), "page_id")
 
 
 @query(o.spans_sql("pages", "page_id", "html", o.EMAIL, o.EMAIL_OK))
@@ -215,11 +221,11 @@ def _cache(docs: DataFrame) -> DataFrame:
 
 @query(
     """
-SELECT doc_id, EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 3 = 0 AND c.text = d.text) AS hit FROM documents d"""
+SELECT doc_id, EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'en' AND c.text = d.text) AS hit FROM documents d"""
 )
 def cache_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    store = _cache(docs.filter("doc_id % 3 = 0")).dropDuplicates(["key"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "lang")
+    store = _cache(docs.filter("lang = 'en'")).dropDuplicates(["key"])
     hits, misses = cache.lookup(docs.select("doc_id", cache.cache_key(F.sha2("text", 256), Settings()).alias("key")), store)
     return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
@@ -260,15 +266,14 @@ def word_ranges(spark, sf_dir):
 
 @query(
     f"""
-WITH {_WORDS}, s AS (SELECT doc_id, 5 * k AS a, 5 * k + 12 AS b FROM documents, range(0, 3) t(k) WHERE length(text) > 40)
-SELECT s.doc_id, CAST(a AS INT) AS "start", CAST(b AS INT) AS "end", page, pos * 6.0 + least(0.5, length(word) / 4) AS x0, pos * 6.0 + length(word) - least(0.5, length(word) / 4) AS x1
-FROM s JOIN words w ON s.doc_id = w.doc_id AND a < e AND e - length(word) < b"""
+WITH {_WORDS}, s AS ({o.typed_sql("documents", "doc_id", "text")})
+SELECT s.doc_id, entity_type, CAST(s."start" AS INT) AS "start", CAST(s."end" AS INT) AS "end", page, pos * 6.0 + least(0.5, length(word) / 4) AS x0, pos * 6.0 + length(word) - least(0.5, length(word) / 4) AS x1
+FROM s JOIN words w ON s.doc_id = w.doc_id AND s."start" < e AND e - length(word) < s."end""""
 )
 def span_rectangles(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    spans = docs.filter(F.char_length("text") > 40).select("doc_id", k).select("doc_id", (F.col("k") * 5).alias("start"), (F.col("k") * 5 + 12).alias("end"), F.lit("X").alias("entity_type"))
-    return boxes.span_rectangles(spans, _words(docs)).select("doc_id", "start", "end", F.col("page").cast("long").alias("page"), "x0", "x1")
+    spans = exploded(detect(docs, rules=TYPED), "doc_id").select("doc_id", "s.start", "s.end", "s.entity_type")
+    return boxes.span_rectangles(spans, _words(docs)).select("doc_id", "entity_type", "start", "end", F.col("page").cast("long").alias("page"), "x0", "x1")
 
 
 @query(
@@ -384,7 +389,8 @@ bridged AS (SELECT q.doc_id, q.kind, q.first, q.last, min(s) AS s, max(e) AS e,
   JOIN t ON t.doc_id = q.doc_id AND t.token BETWEEN q.first AND q.last GROUP BY q.doc_id, q.kind, q.first, q.last)"""
 _JOINED = r"""
 j0 AS (SELECT x.*, text, CASE WHEN lag(kind) OVER o = kind AND lag(e) OVER o <= s AND regexp_full_match(substr(text, lag(e) OVER o + 1, s - lag(e) OVER o), '[ 	
-''’-]*') THEN 0 ELSE 1 END AS new
+
+''’-]*') THEN 0 ELSE 1 END AS new
   FROM bridged x JOIN benchmark ON item_id = doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY s, e)),
 j1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM j0),
 j2 AS (SELECT doc_id, kind, min(s) AS s, max(e) AS e, list({'s': s, 'e': e, 'c': conf} ORDER BY s) AS own FROM j1 GROUP BY doc_id, g, kind),
@@ -481,10 +487,86 @@ def command_decisions(spark, sf_dir):
     return policy.command_decision(rows).select("id", "decision")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 200000 THEN 'withhold' ELSE 'allow' END AS decision FROM conversations")
+_HIDDEN = f"""(SELECT doc_id, count(*) AS n FROM ({o.typed_sql("documents", "doc_id", "text")}) WHERE entity_type <> 'URL' GROUP BY doc_id)"""
+
+
+@query(
+    f"""
+SELECT d.doc_id, CASE WHEN length(text) > 5000 THEN 'withhold' WHEN n > 0 THEN 'rewrite' ELSE 'allow' END AS decision
+FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id"""
+)
 def output_decisions(spark, sf_dir):
-    rows = redact(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), rules=TYPED)
-    return policy.output_decision(rows).select("conv_id", "turn", "decision")
+    """Every document as a tool's output, with a limit that some exceed."""
+    rows = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=TYPED)
+    return policy.output_decision(rows, max_text=5000).select("doc_id", "decision")
+
+
+@query(
+    f"""
+SELECT d.doc_id, CASE WHEN lang = 'es' THEN 'allow' WHEN source IS NULL THEN 'withhold'
+  WHEN length(text) + CASE WHEN lang = 'fr' THEN 4000 ELSE 0 END > 5000 THEN 'withhold' WHEN n > 0 OR lang = 'fr' THEN 'rewrite' ELSE 'allow' END AS decision,
+  lang = 'fr' AND source IS NOT NULL AND length(text) <= 1000 AS side_rewritten
+FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id WHERE lang IS NOT NULL"""
+)
+def tool_output_decisions(spark, sf_dir):
+    """Documents as tools' outputs: a command's in French (with 4000 characters on the other output), texts read otherwise, another tool's in Spanish."""
+    side = "mail a@b.com " + "." * 3987
+    docs, lang = table(spark, sf_dir, "documents").filter("lang is not null"), F.col("lang")
+    outputs = docs.select(
+        "doc_id", F.when(lang == "fr", "Bash").when(lang == "es", "Grep").otherwise("Read").alias("tool_name"), F.lit("text").alias("kind"),
+        F.when(lang == "fr", F.col("text")).alias("stdout"), F.when(lang == "fr", side).alias("stderr"), F.when(lang != "fr", F.col("text")).alias("content"),
+        F.when(F.col("source").isNull(), "failed").alias("error"),
+    )
+    told = policy.tool_output_decision(outputs, rules=TYPED, max_text=5000)
+    return told.select("doc_id", "decision", F.coalesce(F.col("served_stderr").startswith("mail [EMAIL_1] .."), F.lit(False)).alias("side_rewritten"))
+
+
+def _as_files(docs: DataFrame) -> DataFrame:
+    """Documents as extracted files, those from no known source skipped."""
+    rows = docs.select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "lang",
+        F.when(F.col("source").isNull(), "skip_globs").alias("skip_reason"), "text", F.sha2("text", 256).alias("content_hash"),
+    )
+    return job.keyed(rows, Settings())
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """A cache that knows the French ones."""
+    known = redact(rows.filter("lang = 'fr' and key is not null").dropDuplicates(["key"]), rules=TYPED)
+    return cache.entries(known.withColumn("redacted_path", F.lit(None).cast("string")), "batch=0", 1.0)
+
+
+_FILES = f"""
+f AS (SELECT d.doc_id, lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS path, text, lang, source IS NULL AS skipped, coalesce(n, 0) AS n FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id),
+held AS (SELECT DISTINCT text FROM f WHERE lang = 'fr' AND NOT skipped)"""
+
+
+@query(
+    f"""
+WITH {_FILES}, firsts AS (SELECT text, min(path) AS path FROM f WHERE NOT skipped GROUP BY text)
+SELECT f.path, CASE WHEN NOT skipped THEN h.text IS NOT NULL OR f.path <> firsts.path END AS cache_hit, CASE WHEN NOT skipped THEN CAST(n AS INT) END AS found,
+  CASE WHEN skipped THEN 'skip_globs' END AS skip_reason
+FROM f LEFT JOIN firsts ON f.text = firsts.text LEFT JOIN held h ON f.text = h.text"""
+)
+def stream_answers(spark, sf_dir):
+    """One batch of the file job: an answer for every file."""
+    rows = _as_files(table(spark, sf_dir, "documents"))
+    held = _held(rows)
+    return job.answers(rows, held, job.redact_new(rows, held, rules=TYPED)).select("path", "cache_hit", "found", "skip_reason")
+
+
+@query(
+    f"""
+WITH {_FILES}, log AS (SELECT DISTINCT f.text, n, CASE WHEN h.text IS NULL THEN 2.0 ELSE 3.0 END AS atime FROM f LEFT JOIN held h ON f.text = h.text WHERE NOT skipped)
+SELECT sha256(text) AS content_hash, CAST(n AS INT) AS found, CAST(atime AS DOUBLE) AS atime FROM log"""
+)
+def cache_after_batch(spark, sf_dir):
+    """The cache's log after such a batch, the newest entry of a key: hits renewed at 3, new contents at 2."""
+    rows = _as_files(table(spark, sf_dir, "documents"))
+    held = _held(rows)
+    new = cache.entries(job.redact_new(rows, held, rules=TYPED), "batch=1", 2.0)
+    log = held.unionByName(held.withColumn("atime", F.lit(3.0))).unionByName(new)
+    return cache.latest(log).select(F.substring_index("key", ":", 1).alias("content_hash"), "found", "atime")
 
 
 @query("SELECT tier, count(*) AS types FROM (SELECT unnest(list_resize(['deterministic'], 17, 'deterministic') || list_resize(['shared'], 3, 'shared') || list_resize(['model'], 12, 'model') || ['custom']) AS tier) GROUP BY tier")

@@ -23,10 +23,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches; nothing happens where there is none."""
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -46,12 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a :func:`materialize` result that nothing lazy reads any more."""
-    _delete(df.sparkSession, df._quillveil_path)
+    delete(df.sparkSession, df._quillveil_path)
 
 
 def _quietly(spark: SparkSession, path: str) -> None:
     try:
-        _delete(spark, path)
+        delete(spark, path)
     except Exception:  # the session has ended; the cluster's own cleaning takes over
         pass
 

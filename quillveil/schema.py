@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,7 @@ class Settings:
 
     enable_rules: bool = True
     enable_model: bool = False
+    model_id: str = ""
     model_confidence: float = 0.5
     type_thresholds: dict[str, float] = field(default_factory=lambda: {"SECONDARY_ADDRESS": 0.85, "STREET_NAME": 0.85, "BUILDING_NUMBER": 0.85})
     public_types: tuple[str, ...] = PUBLIC_TYPES
@@ -66,6 +68,7 @@ class Settings:
         given = {
             "enable_rules": engines.get("regex"),
             "enable_model": engines.get("model"),
+            "model_id": engines.get("model_id"),
             "model_confidence": engines.get("model_confidence"),
             "type_thresholds": engines.get("model_type_thresholds"),
             "public_types": entities.get("public_types"),
@@ -79,10 +82,21 @@ class Settings:
         }
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if v is not None})
 
+    @classmethod
+    def load(cls, path: str | None = None) -> Settings:
+        """Settings of a TOML file: the given one, else ``config.toml`` in the folder that QUILLVEIL_CONFIG_DIR names
+        (~/.config/quillveil where it is unset), else the defaults. A given file must be there."""
+        folder = os.environ.get("QUILLVEIL_CONFIG_DIR") or os.path.expanduser("~/.config/quillveil")
+        file = path or os.path.join(folder, "config.toml")
+        if not path and not os.path.isfile(file):
+            return cls()
+        with open(file, encoding="utf-8") as f:
+            return cls.from_toml(f.read())
+
     def fingerprint(self) -> str:
         """A short hash of the fields that change what a text redacts to."""
         names = (
-            "enable_rules", "enable_model", "model_confidence", "type_thresholds", "public_types", "custom_keywords",
+            "enable_rules", "enable_model", "model_id", "model_confidence", "type_thresholds", "public_types", "custom_keywords",
             "allow_globs", "deny_globs", "skip_globs", "max_file_bytes",
         )
         told = {n: getattr(self, n) for n in names}

@@ -30,6 +30,20 @@ def touched(cache: DataFrame, hits: DataFrame, now: float) -> DataFrame:
     return cache.join(seen, "key", "left").withColumn("atime", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("atime"))).drop("_hit")
 
 
+def entries(done: DataFrame, part: str, now: float) -> DataFrame:
+    """Entries for contents just redacted (key, redacted_path, found, redacted). Only what has a copy takes room;
+    ``report_path`` names the part that holds report and copy."""
+    size = F.when(F.col("found") > 0, F.octet_length("redacted")).otherwise(0).cast("long")
+    return done.select("key", "redacted_path", F.lit(part).alias("report_path"), F.col("found").cast("int").alias("found"), size.alias("size"), F.lit(float(now)).alias("atime"))
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The entry of every key that was used last."""
+    rest = [c for c in log.columns if c not in ("key", "atime")]
+    newest = log.groupBy("key").agg(F.max(F.struct("atime", *rest)).alias("_e"))
+    return newest.select(*(F.col(c) if c == "key" else F.col("_e")[c].alias(c) for c in log.columns))
+
+
 def evicted(cache: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
     """The entries that stay: oldest go until the sizes fit the budget.
 

@@ -34,6 +34,36 @@ SIGNATURES = (
     (4, "66747970", "binary_unknown"),
     (0, "4F676753", "binary_unknown"),
     (0, "53514C69746520666F726D6174203300", "binary_unknown"),
+    (0, "526172211A07", "binary_unknown"),
+    (0, "28B52FFD", "binary_unknown"),
+    (0, "04224D18", "binary_unknown"),
+    (0, "4C5A4950", "binary_unknown"),
+    (0, "1F9D", "binary_unknown"),
+    (257, "7573746172", "binary_unknown"),
+    (0, "213C617263683E", "binary_unknown"),
+    (0, "EDABEEDB", "binary_unknown"),
+    (0, "4D534346", "binary_unknown"),
+    (0, "D0CF11E0A1B11AE1", "binary_unknown"),
+    (0, "25215053", "binary_unknown"),
+    (0, "7B5C727466", "binary_unknown"),
+    (0, "0061736D", "binary_unknown"),
+    (0, "CAFEBABE", "binary_unknown"),
+    (0, "FEEDFACF", "binary_unknown"),
+    (0, "CFFAEDFE", "binary_unknown"),
+    (0, "664C6143", "binary_unknown"),
+    (0, "4D546864", "binary_unknown"),
+    (0, "2321414D52", "binary_unknown"),
+    (0, "1A45DFA3", "binary_unknown"),
+    (0, "464C5601", "binary_unknown"),
+    (0, "3026B2758E66CF11A6D9", "binary_unknown"),
+    (0, "000001BA", "binary_unknown"),
+    (0, "774F464600010000", "binary_unknown"),
+    (0, "774F463200010000", "binary_unknown"),
+    (0, "0001000000", "binary_unknown"),
+    (0, "4F54544F00", "binary_unknown"),
+    (0, "38425053", "image"),
+    (0, "00000100", "image"),
+    (0, "0000000C6A502020", "image"),
 )
 
 

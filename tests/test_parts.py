@@ -134,18 +134,80 @@ def test_long_output_is_withheld_in_any_mode(spark):
     assert [(x.decision, x.served) for x in out.collect()] == [("withhold", None), ("rewrite", "mail [EMAIL_1]"), ("allow", "fine")]
 
 
-def test_stream_of_files_uses_the_cache(spark, tmp_path):
-    src, out = tmp_path / "in", str(tmp_path / "out")
+def test_stream_answers_every_file_and_keeps_its_cache(spark, tmp_path):
+    import shutil
+
+    src, out, settings = tmp_path / "in", str(tmp_path / "out"), Settings(skip_globs=("*.lock",), cache_max_bytes=40)
     src.mkdir()
-    (src / "a.txt").write_text("mail a@b.com")
-    (src / "b.txt").write_text("nothing here")
-    redact_stream(file_stream(spark, str(src)), out, str(tmp_path / "check")).awaitTermination()
-    (src / "c.txt").write_text("mail a@b.com")  # known content
-    (src / "d.txt").write_text("card 4111 1111 1111 1111")
-    redact_stream(file_stream(spark, str(src)), out, str(tmp_path / "check")).awaitTermination()
-    rows = spark.read.parquet(f"{out}/redacted").collect()
-    assert sorted(x.redacted for x in rows) == ["card [CREDIT_CARD_1]", "mail [EMAIL_1]", "nothing here"]
-    assert spark.read.parquet(f"{out}/reports").count() == 3
+
+    def run(**new):
+        for name, text in new.items():
+            (src / name.replace("_", ".")).write_text(text)
+        redact_stream(file_stream(spark, str(src)), out, str(tmp_path / "check"), settings, compact=2).awaitTermination()
+        last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "answers").iterdir())
+        rows = spark.read.parquet(f"{out}/answers/batch={last}").collect()
+        return {r.path.rsplit("/", 1)[-1]: (r.cache_hit, r.found, r.redacted_path is not None, r.skip_reason) for r in rows}
+
+    first = run(a_txt="mail a@b.com", b_txt="nothing here", e_txt="mail a@b.com", f_lock="mail a@b.com")
+    assert first == {"a.txt": (False, 1, True, None), "b.txt": (False, 0, False, None), "e.txt": (True, 1, True, None), "f.lock": (None, None, False, "skip_globs")}
+    assert [r.redacted for r in spark.read.parquet(f"{out}/redacted").collect()] == ["mail [EMAIL_1]"]
+    # known content is answered, and its access time renewed: 20 and 14 bytes fit the budget of 40
+    assert run(c_txt="mail a@b.com", d_txt="card 4111 1111 1111 1111") == {"c.txt": (True, 1, True, None), "d.txt": (False, 1, True, None)}
+    store = spark.read.parquet(f"{out}/cache/table=1").collect()
+    assert sorted(r.size for r in store) == [0, 14, 20] and len({r.atime for r in store if r.size == 14} & {r.atime for r in store if r.size == 20}) == 1
+    # a copy that is gone is made again
+    shutil.rmtree(tmp_path / "out" / "redacted" / "batch=0")
+    assert run(g_txt="mail a@b.com", h_txt="card 4111 1111 1111 1111") == {"g.txt": (False, 1, True, None), "h.txt": (True, 1, True, None)}
+    assert not (tmp_path / "out" / "cache" / "batch=0").exists()
+    # the budget holds after the next compaction: the oldest entry with a copy goes, and is made again
+    run(i_txt="ssn 123-45-6789 mail x@y.com")
+    assert sum(r.size for r in spark.read.parquet(f"{out}/cache/table=3").collect()) <= 40
+    assert run(j_txt="ssn 123-45-6789 mail x@y.com") == {"j.txt": (True, 2, True, None)}
+
+
+def test_tool_outputs(spark):
+    cols = "id int, tool_name string, kind string, stdout string, stderr string, content string, error string"
+    mail, card = "mail a@b.com", "card 4111 1111 1111 1111"
+    rows = spark.createDataFrame(
+        [
+            (1, "Bash", None, mail, card, None, None), (2, "Bash", None, "fine", None, None, None), (3, "Bash", None, "x" * 30, "x" * 30, None, None),
+            (4, "Read", "text", None, None, mail, None), (5, "Read", "image", None, None, mail, None), (6, "Read", "text", None, None, "x" * 60, None),
+            (7, "Grep", "text", mail, None, mail, None), (8, "Bash", None, mail, "err", None, "down"), (9, None, None, None, None, None, None),
+        ],
+        cols,
+    )
+    got = {r.id: (r.decision, r.served_stdout, r.served_stderr, r.served_content) for r in policy.tool_output_decision(rows, max_text=50).collect()}
+    long, down = policy.NOTICES
+    assert got == {
+        1: ("rewrite", "mail [EMAIL_1]", "card [CREDIT_CARD_1]", None), 2: ("allow", "fine", None, None), 3: ("withhold", long, "", None),
+        4: ("rewrite", None, None, "mail [EMAIL_1]"), 5: ("allow", None, None, mail), 6: ("withhold", None, None, long),
+        7: ("allow", mail, None, mail), 8: ("withhold", down, "", None), 9: ("allow", None, None, None),
+    }
+    opened = {r.id: r.decision for r in policy.tool_output_decision(rows, Settings(fail_mode="open"), max_text=50).collect()}
+    assert opened[8] == "allow" and opened[3] == opened[6] == "withhold"
+
+
+def test_settings_from_the_environment(tmp_path, monkeypatch):
+    monkeypatch.setenv("QUILLVEIL_CONFIG_DIR", str(tmp_path))
+    assert Settings.load() == Settings()
+    (tmp_path / "config.toml").write_text('fail_mode = "open"\n[engines]\nmodel_id = "m@1"\n')
+    assert Settings.load() == Settings(fail_mode="open", model_id="m@1")
+    assert Settings.load().fingerprint() != Settings().fingerprint()
+    with pytest.raises(FileNotFoundError):
+        Settings.load(str(tmp_path / "none.toml"))
+
+
+def test_requests_by_path(spark):
+    from quillveil.operators.service import respond, respond_json
+
+    held = spark.createDataFrame([("/a.txt", "mail a@b.com", "ab" * 32), ("/b.txt", "fine", "cd" * 32), ("/c.lock", None, "ef" * 32)], "path string, text string, content_hash string")
+    asked = spark.createDataFrame([(i, "redact", None, p) for i, p in enumerate(["/a.txt", "/b.txt", "/c.lock", "/d.txt", "", None])], "id int, op string, text string, path string")
+    got = {r.id: (r.ok, r.redacted, r.found, r.redacted_path, r.error) for r in respond(asked, files=held).collect()}
+    name = f"{'ab' * 8}.{Settings().fingerprint()}.redacted.txt"
+    assert got[0] == (True, "mail [EMAIL_1]", 1, name, None) and got[1] == (True, "fine", 0, None, None) and got[2] == (True, None, 0, None, None)
+    assert got[3] == (False, None, None, None, "no such file") and got[4] == got[5] == (False, None, None, None, "missing path")
+    lines = spark.createDataFrame([('{"op":"redact","path":"/a.txt"}',), ("[1]",)], "value string")
+    assert [r.response for r in respond_json(lines, files=held).collect()][0] == f'{{"ok":true,"redacted":"mail [EMAIL_1]","redacted_path":"{name}","found":1}}'
 
 
 def test_requests_in_bulk(spark):
