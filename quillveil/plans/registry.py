@@ -268,7 +268,8 @@ def word_ranges(spark, sf_dir):
     f"""
 WITH {_WORDS}, s AS ({o.typed_sql("documents", "doc_id", "text")})
 SELECT s.doc_id, entity_type, CAST(s."start" AS INT) AS "start", CAST(s."end" AS INT) AS "end", page, pos * 6.0 + least(0.5, length(word) / 4) AS x0, pos * 6.0 + length(word) - least(0.5, length(word) / 4) AS x1
-FROM s JOIN words w ON s.doc_id = w.doc_id AND s."start" < e AND e - length(word) < s."end""""
+FROM s JOIN words w ON s.doc_id = w.doc_id AND s."start" < e AND e - length(word) < s."end"
+"""
 )
 def span_rectangles(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -503,29 +504,29 @@ def output_decisions(spark, sf_dir):
 
 @query(
     f"""
-SELECT d.doc_id, CASE WHEN lang = 'es' THEN 'allow' WHEN source IS NULL THEN 'withhold'
+SELECT d.doc_id, CASE WHEN lang = 'es' THEN 'allow' WHEN source = 'src0' THEN 'withhold'
   WHEN length(text) + CASE WHEN lang = 'fr' THEN 4000 ELSE 0 END > 5000 THEN 'withhold' WHEN n > 0 OR lang = 'fr' THEN 'rewrite' ELSE 'allow' END AS decision,
-  lang = 'fr' AND source IS NOT NULL AND length(text) <= 1000 AS side_rewritten
+  lang = 'fr' AND source <> 'src0' AND length(text) <= 1000 AS side_rewritten
 FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id WHERE lang IS NOT NULL"""
 )
 def tool_output_decisions(spark, sf_dir):
-    """Documents as tools' outputs: a command's in French (with 4000 characters on the other output), texts read otherwise, another tool's in Spanish."""
+    """Documents as tools' outputs: a command's in French (with 4000 characters on the other output), texts read otherwise, another tool's in Spanish; the check of one source's fails."""
     side = "mail a@b.com " + "." * 3987
     docs, lang = table(spark, sf_dir, "documents").filter("lang is not null"), F.col("lang")
     outputs = docs.select(
         "doc_id", F.when(lang == "fr", "Bash").when(lang == "es", "Grep").otherwise("Read").alias("tool_name"), F.lit("text").alias("kind"),
         F.when(lang == "fr", F.col("text")).alias("stdout"), F.when(lang == "fr", side).alias("stderr"), F.when(lang != "fr", F.col("text")).alias("content"),
-        F.when(F.col("source").isNull(), "failed").alias("error"),
+        F.when(F.col("source") == "src0", "failed").alias("error"),
     )
     told = policy.tool_output_decision(outputs, rules=TYPED, max_text=5000)
     return told.select("doc_id", "decision", F.coalesce(F.col("served_stderr").startswith("mail [EMAIL_1] .."), F.lit(False)).alias("side_rewritten"))
 
 
 def _as_files(docs: DataFrame) -> DataFrame:
-    """Documents as extracted files, those from no known source skipped."""
+    """Documents as extracted files, those of one source skipped."""
     rows = docs.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "lang",
-        F.when(F.col("source").isNull(), "skip_globs").alias("skip_reason"), "text", F.sha2("text", 256).alias("content_hash"),
+        F.when(F.col("source") == "src0", "skip_globs").alias("skip_reason"), "text", F.sha2("text", 256).alias("content_hash"),
     )
     return job.keyed(rows, Settings())
 
@@ -537,7 +538,7 @@ def _held(rows: DataFrame) -> DataFrame:
 
 
 _FILES = f"""
-f AS (SELECT d.doc_id, lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS path, text, lang, source IS NULL AS skipped, coalesce(n, 0) AS n FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id),
+f AS (SELECT d.doc_id, lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS path, text, lang, source = 'src0' AS skipped, coalesce(n, 0) AS n FROM documents d LEFT JOIN {_HIDDEN} h ON d.doc_id = h.doc_id),
 held AS (SELECT DISTINCT text FROM f WHERE lang = 'fr' AND NOT skipped)"""
 
 
