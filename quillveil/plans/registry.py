@@ -545,15 +545,17 @@ held AS (SELECT DISTINCT text FROM f WHERE lang = 'fr' AND NOT skipped)"""
 @query(
     f"""
 WITH {_FILES}, firsts AS (SELECT text, min(path) AS path FROM f WHERE NOT skipped GROUP BY text)
-SELECT f.path, CASE WHEN NOT skipped THEN h.text IS NOT NULL OR f.path <> firsts.path END AS cache_hit, CASE WHEN NOT skipped THEN CAST(n AS INT) END AS found,
-  CASE WHEN skipped THEN 'skip_globs' END AS skip_reason
+SELECT f.path, CASE WHEN skipped THEN 'skip_globs' WHEN h.text IS NOT NULL OR f.path <> firsts.path THEN 'hit' ELSE 'miss' END AS answer,
+  CAST(CASE WHEN skipped THEN 0 ELSE n END AS INT) AS found
 FROM f LEFT JOIN firsts ON f.text = firsts.text LEFT JOIN held h ON f.text = h.text"""
 )
 def stream_answers(spark, sf_dir):
     """One batch of the file job: an answer for every file."""
     rows = _as_files(table(spark, sf_dir, "documents"))
     held = _held(rows)
-    return job.answers(rows, held, job.redact_new(rows, held, rules=TYPED)).select("path", "cache_hit", "found", "skip_reason")
+    told = job.answers(rows, held, job.redact_new(rows, held, rules=TYPED))
+    answer = F.coalesce("skip_reason", F.when(F.col("cache_hit"), "hit").otherwise("miss"))
+    return told.select("path", answer.alias("answer"), F.coalesce("found", F.lit(0)).alias("found"))
 
 
 @query(
