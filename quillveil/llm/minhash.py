@@ -12,7 +12,7 @@ Registers are banded (``BANDS`` bands of ``ROWS``; at similarity 0.8 a pair meet
 probability 3e-6). Documents of equal words are one node first. In every bucket each node is compared
 with the bucket's smallest and largest. In buckets that still hold more than one component, signatures
 tell, in blocks, which nodes can have a partner in another one; their multisets are compared inside
-the block, which gives out only links that join components, so rows stay linear in the nodes. Every
+the block, which gives out only links that join components, so links stay linear in the nodes. Every
 link is verified on the multisets themselves (similarity >= 0.8). Classes are the components of the
 links; the class id is the smallest id in it.
 
@@ -40,7 +40,7 @@ M = BANDS * ROWS
 #: registers this happens with probability below 1e-8.
 LIKELY = 0.6
 BLOCK = 1 << 18
-MEMBERS, ITEMS = 2048, 500_000
+MEMBERS, LEAD, ITEMS = 2048, 512, 500_000
 SALTS = 64
 #: Rows of the longest list that is broadcast, some 8 MB of ids and hashes; longer ones are joined by key.
 SHORT = 200_000
@@ -366,18 +366,31 @@ def _links_inside(batches):
 def _late_links(multi: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components in the buckets that hold more than one.
 
-    Blocks hold at most MEMBERS nodes and about ITEMS shingles on each side. Signatures tell which nodes of a
-    block can have a partner in it; only for those the multisets are fetched, and compared in the block.
+    A bucket's largest component, its lead, needs no comparison with itself, only with the bucket's other
+    nodes. Blocks of the others are met with each other and with the parts of the lead, so a bucket's rows
+    stay linear in its lead. Blocks hold at most MEMBERS nodes and about ITEMS shingles on each side, parts of
+    the lead LEAD nodes or as many as there are others. Signatures tell which nodes of a block can have a
+    partner in it; only for those the multisets are fetched, and compared in the block.
     """
     rows = multi.select("key", "node").join(comp.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     rows = rows.join(nodes.select("node", "n"), "node")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).filter("lo <> hi")
-    blocks = F.ceil(F.greatest(F.col("size") / MEMBERS, F.col("items") / ITEMS)).cast("int")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "items", "comp")).alias("lead"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("size"), F.sum("items").alias("items")).filter("comps > 1")
+    size, items = F.col("size") - F.col("lead.size"), F.col("items") - F.col("lead.items")
+    part = F.least(F.lit(MEMBERS), F.greatest(F.lit(LEAD), size))
+    blocks = mixed.select(
+        "key",
+        F.col("lead.comp").alias("lead"),
+        F.ceil(F.greatest(size / MEMBERS, items / ITEMS)).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.col("lead.size") / part, F.col("lead.items") / ITEMS)).cast("int").alias("parts"),
+    )
+    # blocks of the others count from 0, the lead's parts go on from there
+    leads, at = F.col("comp") == F.col("lead"), F.xxhash64("node")
     inside = (
-        rows.join(mixed.select("key", blocks.alias("blocks")), "key")
+        rows.join(blocks, "key")
         .join(nodes.select("node", "sig", "bands"), "node")
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("mine", F.when(leads, F.col("blocks") + F.pmod(at, F.col("parts"))).otherwise(F.pmod(at, F.col("blocks"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(leads, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("parts") - 1))))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"), "node", "comp", "n", "sig", "bands")
     )
     found = inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_open_members), "key long, i int, j int, node long, comp long")

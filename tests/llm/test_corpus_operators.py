@@ -424,10 +424,22 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 20: 1, 11: 10, 12: 10, 13: 10, 14: 10}
 
 
-def test_buckets_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "MEMBERS", 3)
-    rows = near_rows()
-    assert classes_of(minhash.near_classes(frame(spark, [(i, t, "a") for i, t in rows])).collect()) == brute_classes(rows)
+@pytest.mark.parametrize("members, lead", [(3, 2), (2, 1), (2048, 512)])
+def test_buckets_in_blocks(spark, monkeypatch, members, lead):
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    monkeypatch.setattr(minhash, "LEAD", lead)
+    rows, base = near_rows(), [f"w{i}" for i in range(200)]
+
+    def changed(places):
+        return " ".join(f"{w}x{max(places)}" if i in places else w for i, w in enumerate(base))
+
+    for k in range(20):  # a large component, and strays that are near to one of its members only
+        rows.append((1000 + k, changed({10 * k + 2})))
+        if k % 4 == 0:
+            rows.append((2000 + k, " ".join(f"y{k}" if i in {10 * ((k + 3 * j) % 20) + 7 for j in range(1, 5)} else w for i, w in enumerate(changed({10 * k + 2}).split()))))
+    want = brute_classes(rows)
+    assert max(len(c) for c in want) == 25
+    assert classes_of(minhash.near_classes(frame(spark, [(i, t, "a") for i, t in rows])).collect()) == want
 
 
 # ---------------------------------------------------------------- search
