@@ -48,7 +48,8 @@ def evicted(cache: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
     """The entries that stay: oldest go until the sizes fit the budget.
 
     What stays is the longest suffix by access time that fits. Entries are put in buckets by quantiles of the
-    access time; totals of buckets are summed in sequence, rows only inside their bucket.
+    access time; totals of buckets are summed in sequence, rows only inside their bucket. Of entries with one access
+    time those with the larger key stay, of one key too those whose other columns are larger, so reruns agree.
     """
     cuts = cache.stat.approxQuantile("atime", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
     cuts = sorted(set(cuts))
@@ -56,6 +57,7 @@ def evicted(cache: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
     rows = cache.withColumn("_bucket", bucket)
     totals = rows.groupBy("_bucket").agg(F.sum("size").alias("_total"))  # one row a bucket
     newer = totals.withColumn("_newer", F.coalesce(F.sum("_total").over(Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_bucket").orderBy(F.desc("atime"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = ["atime", "key", *(c for c in cache.columns if c not in ("key", "atime"))]
+    inside = Window.partitionBy("_bucket").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = rows.withColumn("_run", F.sum("size").over(inside)).join(F.broadcast(newer.select("_bucket", "_newer")), "_bucket")
     return kept.filter(F.col("_run") + F.col("_newer") <= budget).select(*cache.columns)

@@ -64,6 +64,12 @@ def test_cache_lookup_touch_and_eviction(spark):
     assert cache.evicted(store, 300).count() == 3 and cache.evicted(store, 0).count() == 0
 
 
+def test_eviction_among_equal_keys_and_times_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("k", f"r/{i}", "p", 1, 100, 1.0) for i in range(4)]
+    stays = [{x.redacted_path for x in cache.evicted(spark.createDataFrame(r, cache.SCHEMA).coalesce(1), 200).collect()} for r in (rows, rows[::-1])]
+    assert stays == [{"r/2", "r/3"}] * 2
+
+
 LABELS = ["O", "B-GIVEN_NAME", "I-GIVEN_NAME", "B-SURNAME", "I-SURNAME", "B-CITY"]
 
 
